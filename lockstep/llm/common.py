@@ -81,3 +81,35 @@ def numbered(df: DataFrame, order: list[str], within: str | None = None, buckets
         "_k", F.explode(F.sequence(F.col("_piece") * piece, F.least(F.col("_copies"), (F.col("_piece") + 1) * piece) - 1))
     )
     return rows.select(*keys, (F.col("_first") + F.col("_k")).alias(name)), totals
+
+
+def map_texts(df: DataFrame, keep: list[str], text: str, schema: str, make, piece: int = 4 << 20) -> DataFrame:
+    """Columns ``keep`` beside what a function makes of each text.
+
+    ``make()`` runs once in a task and returns f(texts) -> one list for each column of ``schema`` (a DDL
+    string without ``keep``). Texts reach f whole, null as null, in lists of about ``piece`` bytes, so
+    that a task holds little at a time whatever the lengths.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    made = StructType.fromDDL(schema)
+    out = StructType([*df.select(*keep).schema.fields, *made.fields])
+    arrow = to_arrow_schema(out)
+
+    def run(batches):
+        f = make()
+        for batch in batches:
+            held, start, n = [], 0, 0
+            column = batch.column(batch.num_columns - 1)
+            for i in range(batch.num_rows):
+                held.append(value := column[i].as_py())
+                n += len(value or "") + 64
+                if n >= piece or i + 1 == batch.num_rows:
+                    columns = [batch.column(j).slice(start, len(held)) for j in range(len(keep))]
+                    columns += [pa.array(x, type=arrow.field(len(keep) + k).type) for k, x in enumerate(f(held))]
+                    yield pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(columns, arrow, strict=True)], schema=arrow)
+                    held, start, n = [], i + 1, 0
+
+    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, out)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import sharding, url_filter
+from . import bpe, flac, sharding, url_filter
 
-MODULES = [sharding, url_filter]
+MODULES = [flac, sharding, bpe, url_filter]
 
 
 def queries() -> dict:
