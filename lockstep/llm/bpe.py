@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import map_texts, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: States, transitions, pairs and pieces that a task holds at most of; beyond it they are built anew.
-STATES, MOVES, PIECES = 200_000, 1_000_000, 400_000
+#: States, and entries of each kind of memo, that a worker holds at most of before it starts anew.
+STATES, HELD = 120_000, 120_000
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -29,87 +30,164 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
     return {base64.b64decode(x[0]): int(x[1]) for x in lines if x}
 
 
+#: Where a text may be cut: before a lone space between two characters that aren't white.
+BETWEEN = re.compile(r"(?<=\S)(?= \S)").split
+
+
+class Memo:
+    """A bounded memo in two generations: when the young one is full, the old one goes."""
+
+    def __init__(self, size: int = HELD):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key):
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.size:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+
+
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.prefixes = {b[:n] for b in ranks for n in range(1, len(b) + 1)}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        # The trie of all tokens: (node * 256 + byte) -> node, 0 the root; which nodes end a token, which go on.
+        self.trie: dict[int, int] = {}
+        self.token_at: dict[int, int] = {}
+        self.goes_on: set[int] = set()
+        for data, token in ranks.items():
+            node = 0
+            for byte in data:
+                self.goes_on.add(node)
+                node = self.trie.setdefault(node << 8 | byte, len(self.trie) + 1)
+            self.token_at[node] = token
+        self.parts: dict[int, tuple[int, int]] = {}
+        self.pairs = Memo()
         self._reset()
 
     def _reset(self) -> None:
-        start = (((), b""),)
-        self.states = [start]
-        self.numbers = {start: 0}
-        self.moves: dict[tuple[int, int, bool], tuple[int, tuple[int, ...], bool]] = {}
-
-    def merge(self, data: bytes) -> list[int]:
-        """Ids by the merges alone: the adjacent pair of least rank first, leftmost of equals."""
+        """A state is a dict from a byte to (settled tokens, next state); under -1 it holds what it stands
+        for: the last settled token (or -1), and for each configuration its pending tokens and trie node."""
+        self.start = {-1: (-1, (((), 0),))}
+        self.states = {self.start[-1]: self.start}
+
+    def merge(self, data: bytes, below: int = 1 << 62) -> list[int]:
+        """Ids by the merges of rank under ``below``: the adjacent pair of least rank first, leftmost of
+        equals."""
         parts = [data[i : i + 1] for i in range(len(data))]
         ranks = self.ranks
         while len(parts) > 1:
             best, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 62), i) for i in range(len(parts) - 1))
-            if best == 1 << 62:
+            if best >= below:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [ranks[p] for p in parts]
 
+    def halves(self, token: int) -> tuple[int, int]:
+        """The two tokens whose merge makes this one; a token that no merge makes is its own halves."""
+        known = self.parts.get(token)
+        if known is None:
+            ids = self.merge(self.bytes_of[token], below=token)
+            known = self.parts[token] = (ids[0], ids[1]) if len(ids) == 2 else (token, token)
+        return known
+
     def follows(self, a: int, b: int) -> bool:
-        """Whether the merges leave token b beside token a; a of -1: whether they reach b alone."""
-        known = self.pairs.get((a, b))
+        """Whether the merges leave token b beside token a; a of -1: whether they reach b alone.
+
+        The merges build a and b apart unless some merge across the border comes earlier than the ones
+        that close it off: the border's tokens are taken apart from the latest merge back, and at each
+        stage the merge across must not exist or come later than what was undone."""
+        key = a << 32 | b
+        known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= MOVES:
-                self.pairs.clear()
-            data = self.bytes_of[b]
-            known = self.merge(data) == [b] if a < 0 else self.follows(-1, b) and self.merge(self.bytes_of[a] + data) == [a, b]
-            self.pairs[a, b] = known
+            known = self._follows(a, b)
+            self.pairs.put(key, known)
         return known
 
+    def _reachable(self, token: int) -> bool:
+        left, right = self.halves(token)
+        return left != token or len(self.bytes_of[token]) == 1
+
+    def _follows(self, a: int, b: int) -> bool:
+        if not self._reachable(b):
+            return False
+        if a < 0:
+            return True
+        limit = 1 << 62
+        while True:
+            across = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
+            if across is not None and across < limit and self.halves(across) == (a, b):
+                return False
+            inner_a, inner_b = self.halves(a)[1], self.halves(b)[0]
+            # The later of the two last merges is undone first; at equal places the left one came first.
+            if inner_a != a and (a > b or inner_b == b):
+                limit, a = a, inner_a
+            elif inner_b != b:
+                limit, b = b + 1, inner_b
+            else:
+                return True
+
     def encode(self, piece: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        if len(self.states) > STATES or len(self.moves) > MOVES:
+        if len(self.states) > STATES:
             self._reset()
-        out: list[int] = []
-        state, moves = 0, self.moves
-        emitted = False
+        out: tuple[int, ...] = ()
+        state = self.start
         for byte in piece:
-            key = (state, byte, emitted)
-            got = moves.get(key)
-            if got is None:
-                got = moves[key] = self._step(state, byte, emitted)
-            state, some, emitted = got
-            out += some
-        return (*out, *self._end(state, emitted))
-
-    def _step(self, state: int, byte: int, emitted: bool) -> tuple[int, tuple[int, ...], bool]:
-        """The next state and the tokens that are settled. The last settled token stays at the front of
-        all paths, as what the next one must be able to follow; ``emitted``: it is there and is out."""
-        configs, one = self.states[state], bytes([byte])
+            move = state.get(byte)
+            if move is None:
+                move = self._step(state, byte)
+            settled, state = move
+            if settled:
+                out += settled
+        for path, node in state[-1][1]:
+            if not node:
+                return out + path
+        raise ValueError("the vocabulary lacks a byte")
+
+    def _step(self, state: dict, byte: int) -> tuple[tuple[int, ...], dict]:
+        """Makes the move of a state by a byte."""
+        last, configs = state[-1]
         moved = []
-        for path, held in configs:
-            grown = held + one
-            if grown in self.prefixes:
-                moved.append((path, grown))
-                token = self.ranks.get(grown)
-                if token is not None and self.follows(path[-1] if path else -1, token):
-                    moved.append(((*path, token), b""))
-        paths = [p for p, _ in moved]
+        pairs = self.pairs.young
+        for path, node in configs:
+            node = self.trie.get(node << 8 | byte)
+            if node is None:
+                continue
+            if node in self.goes_on:
+                moved.append((path, node))
+            token = self.token_at.get(node)
+            if token is not None:
+                before = path[-1] if path else last
+                known = pairs.get(before << 32 | token)
+                if self.follows(before, token) if known is None else known:
+                    moved.append(((*path, token), 0))
         shared = 0
-        while all(len(p) > shared for p in paths) and len({p[shared] for p in paths}) == 1:
-            shared += 1
-        out = paths[0][int(emitted) : shared]
-        target = tuple((p[max(shared - 1, 0) :], h) for p, h in moved)
-        number = self.numbers.get(target)
-        if number is None:
-            number = self.numbers[target] = len(self.states)
-            self.states.append(target)
-        return number, out, shared > 0
-
-    def _end(self, state: int, emitted: bool) -> tuple[int, ...]:
-        """What is pending at the end of a piece: the path without an open token."""
-        return next(p for p, h in self.states[state] if not h)[int(emitted) :]
+        if len(moved) == 1:
+            shared = len(moved[0][0])
+        elif moved:
+            for x, y in zip(min(moved)[0], max(moved)[0], strict=False):
+                if x != y:
+                    break
+                shared += 1
+        settled: tuple[int, ...] = ()
+        if shared:
+            settled = moved[0][0][:shared]
+            last = settled[-1]
+            moved = [(path[shared:], node) for path, node in moved]
+        key = (last, tuple(moved))
+        target = self.states.get(key)
+        if target is None:
+            target = self.states[key] = {-1: key}
+        state[byte] = (settled, target)
+        return state[byte]
 
 
 class Utf8Decoder:
@@ -140,16 +218,24 @@ class Tokenizer:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.machine = Transducer(ranks)
         self.find = regex.compile(pattern).findall
-        self.held: dict[str, tuple[int, ...]] = {}
+        self.runs, self.pieces = Memo(), Memo()
         self.bytes_of = self.machine.bytes_of
 
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = self.machine.encode(piece.encode("utf-8", "surrogatepass"))
+            if len(piece) <= 64:
+                self.pieces.put(piece, ids)
+        return ids
+
     def _run(self, run: str) -> tuple[int, ...]:
         """Ids of a run of text that no match crosses the ends of."""
-        ids = tuple(i for m in self.find(run) for i in self.machine.encode(m.encode("utf-8", "surrogatepass")))
+        ids = self.runs.old.get(run)
+        if ids is None:
+            ids = tuple(i for m in self.find(run) for i in self._piece(m))
         if len(run) <= 64:
-            if len(self.held) >= PIECES:
-                self.held.clear()
-            self.held[run] = ids
+            self.runs.put(run, ids)
         return ids
 
     def encode(self, text: str) -> list[int]:
@@ -157,9 +243,8 @@ class Tokenizer:
         alternative takes a space only as its first character or in a run of white space. So a text falls
         into runs there, and equal runs have equal ids."""
         out: list[int] = []
-        held = self.held
-        for run in _runs(text):
-            ids = held.get(run)
+        for run in BETWEEN(text):
+            ids = self.runs.young.get(run)
             out += self._run(run) if ids is None else ids
         return out
 
@@ -171,21 +256,16 @@ class Tokenizer:
         yield stream.close()
 
 
-def _runs(text: str) -> list[str]:
-    parts = text.split(" ")
-    out: list[str] = []
-    held = parts[0]
-    for i in range(1, len(parts)):
-        nxt = parts[i]
-        # Cut only where neither side of this space is empty or white.
-        if held and nxt and not held[-1].isspace() and not nxt[0].isspace():
-            out.append(held)
-            held = " " + nxt
-        else:
-            held += " " + nxt
-    if held:
-        out.append(held)
-    return out
+_OWN: dict[tuple[int, int, str], Tokenizer] = {}
+
+
+def tokenizer(ranks: dict[bytes, int], pattern: str) -> Tokenizer:
+    """A worker's tokenizer, kept over its tasks."""
+    key = (len(ranks), hash(frozenset(ranks.items())), pattern)
+    if key not in _OWN:
+        _OWN.clear()
+        _OWN[key] = Tokenizer(ranks, pattern)
+    return _OWN[key]
 
 
 def encode_texts(docs: DataFrame, keep: list[str], ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
@@ -193,7 +273,7 @@ def encode_texts(docs: DataFrame, keep: list[str], ranks: dict[bytes, int], patt
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary: fixed size
 
     def make():
-        own = Tokenizer(shared.value, pattern)
+        own = tokenizer(shared.value, pattern)
         return lambda texts: ([own.encode(t or "") for t in texts],)
 
     return map_texts(docs, keep, text, "ids array<int>", make)
@@ -204,7 +284,7 @@ def decode_ids(rows: DataFrame, keep: list[str], ranks: dict[bytes, int], ids: s
     shared = rows.sparkSession.sparkContext.broadcast(ranks)
 
     def make():
-        own = Tokenizer(shared.value, "")
+        own = tokenizer(shared.value, "")
         return lambda held: ([None if x is None else "".join(own.decode(x)) for x in held],)
 
     return map_texts(rows, keep, ids, "text string", make)
@@ -215,7 +295,7 @@ def bpe_digests(docs: DataFrame, keep: list[str], ranks: dict[bytes, int], patte
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def make():
-        own = Tokenizer(shared.value, pattern)
+        own = tokenizer(shared.value, pattern)
         names = {i: str(i) for i in own.bytes_of}
 
         def run(texts):
