@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, flac, sharding, url_filter
+from . import bpe, flac, jaccard_join, sharding, toxicity, url_filter
 
-MODULES = [flac, sharding, bpe, url_filter]
+MODULES = [flac, sharding, bpe, jaccard_join, toxicity, url_filter]
 
 
 def queries() -> dict:
