@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, flac, jaccard_join, sharding, toxicity, url_filter
+from . import bpe, flac, jaccard_join, packing, sharding, substring_dedup, toxicity, url_filter
 
-MODULES = [flac, sharding, bpe, jaccard_join, toxicity, url_filter]
+MODULES = [flac, sharding, substring_dedup, bpe, packing, jaccard_join, toxicity, url_filter]
 
 
 def queries() -> dict:
