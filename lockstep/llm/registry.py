@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, flac, jaccard_join, packing, sharding, substring_dedup, toxicity, url_filter
+from . import ann, bpe, chat, flac, jaccard_join, packing, sharding, substring_dedup, toxicity, url_filter
 
-MODULES = [chat, flac, sharding, substring_dedup, bpe, packing, jaccard_join, toxicity, url_filter]
+MODULES = [chat, flac, sharding, substring_dedup, ann, bpe, packing, jaccard_join, toxicity, url_filter]
 
 
 def queries() -> dict:
