@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from . import queries as _own
+
+MODULES: list = [_own]
 
 
 def queries() -> dict:
