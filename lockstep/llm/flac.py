@@ -49,13 +49,9 @@ def _frame_number(n: int) -> bytes:
     """A number in the extended UTF-8 form of frame headers."""
     if n < 0x80:
         return bytes([n])
-    tail = []
-    lead = 0x40
-    while n >= lead >> 1 if tail else True:
-        tail.append(0x80 | n & 0x3F)
-        n >>= 6
-        lead >>= 1
-    return bytes([(0xFF ^ (lead * 2 - 1)) & 0xFF | n, *reversed(tail)])
+    size = next(k for k in range(2, 8) if n < 1 << 5 * k + 1)
+    lead = 0xFF00 >> size & 0xFF | n >> 6 * (size - 1)
+    return bytes([lead, *(0x80 | n >> 6 * k & 0x3F for k in reversed(range(size - 1)))])
 
 
 def _crc8(data: bytes) -> int:
