@@ -136,6 +136,32 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
+        # With one configuration: the longest token that may follow, read a few bytes past its end. If that
+        # reaches the end of the piece, each token follows the one before it, and only one division of a
+        # piece has this property. Else all configurations are followed.
+        out_list: list[int] = []
+        last, i, n = -1, 0, len(piece)
+        trie, token_at, pairs = self.trie, self.token_at, self.pairs.young
+        while i < n:
+            node, ends = 0, []
+            for j in range(i, n):
+                node = trie.get(node << 8 | piece[j])
+                if node is None:
+                    break
+                token = token_at.get(node)
+                if token is not None:
+                    ends.append((token, j + 1))
+            for token, end in reversed(ends):
+                known = pairs.get(last << 32 | token)
+                if self.follows(last, token) if known is None else known:
+                    out_list.append(token)
+                    last, i = token, end
+                    break
+            else:
+                return self.all_configurations(piece)
+        return tuple(out_list)
+
+    def all_configurations(self, piece: bytes) -> tuple[int, ...]:
         if len(self.states) > STATES:
             self._reset()
         out: tuple[int, ...] = ()
