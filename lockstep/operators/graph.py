@@ -126,7 +126,7 @@ def semi_clusters(vertices: DataFrame, edges: DataFrame, max_clusters: int = 10,
 
     A cluster's score is (inner - boundary * crossing weight) / (V (V-1) / 2), 0 for one member. Each round
     vertices send their best ``max_sent`` clusters to neighbours, which join those that have room and keep
-    the best ``max_clusters`` that hold them, by score and then by name. Each edge counts once."""
+    the best ``max_clusters`` that hold them, by score, then size, then name. Each edge counts once."""
     both = edges.select("src", "dst", "weight").filter("src <> dst")
     links = written(both.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max("weight").alias("weight")), "links")
     sym = links.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(links.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))
@@ -142,7 +142,7 @@ def semi_clusters(vertices: DataFrame, edges: DataFrame, max_clusters: int = 10,
     state = known.select("id", F.array("id").alias("members"), F.lit(0.0).alias("inner"), F.col("_all").alias("outer"))
 
     def best(frame: DataFrame, k: int) -> DataFrame:
-        order = Window.partitionBy("id").orderBy(score.desc(), name)
+        order = Window.partitionBy("id").orderBy(F.round(score, 9).desc(), n.desc(), name)
         return frame.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= k).select(*fields)
 
     state = written(state, "clusters")

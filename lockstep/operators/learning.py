@@ -241,7 +241,6 @@ def factorize(ratings: DataFrame, rank: int = 10, rounds: int = 20, rate: float
     In a round ratings meet their factors by joins, every rating gives both sides a correction of
     2 * rate * error * other, and corrections are pre-aggregated for each user and item before they apply,
     so neither a busy user nor a popular item fills a task. Factors begin as hashes from 0 to 1."""
-    del buckets
     data = written(ratings.select("user", "item", F.col("rating").cast("double").alias("rating")), "ratings")
 
     def begin(key: str, salt: int) -> DataFrame:
