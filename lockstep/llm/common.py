@@ -97,12 +97,13 @@ def map_texts(df: DataFrame, keep: list[str], text: str, schema: str, make, piec
     made = StructType.fromDDL(schema)
     out = StructType([*df.select(*keep).schema.fields, *made.fields])
     arrow = to_arrow_schema(out)
+    place = keep.index(text) if text in keep else len(keep)
 
     def run(batches):
         f = make()
         for batch in batches:
             held, start, n = [], 0, 0
-            column = batch.column(batch.num_columns - 1)
+            column = batch.column(place)
             for i in range(batch.num_rows):
                 held.append(value := column[i].as_py())
                 n += len(value or "") + 64
@@ -112,4 +113,5 @@ def map_texts(df: DataFrame, keep: list[str], text: str, schema: str, make, piec
                     yield pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(columns, arrow, strict=True)], schema=arrow)
                     held, start, n = [], i + 1, 0
 
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, out)
+    sent = df.select(*keep) if text in keep else df.select(*keep, F.col(text).alias("_text"))
+    return sent.mapInArrow(run, out)

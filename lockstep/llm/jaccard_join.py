@@ -13,8 +13,9 @@
 4. Signature trees. Groups that still hold several components are searched in full: a tree over their
    members, ordered by size, holds OR-combined bitmaps of shingles and size ranges; a dual traversal
    drops pairs of tree nodes whose greatest possible overlap is too small or whose members are all in one
-   component already, and what is left is verified exactly. Groups are cut into blocks, and pairs of
-   blocks are separate tasks.
+   component already, and what is left is verified exactly, likely pairs first, until all that links is
+   joined. Groups are cut into blocks: first each block is searched, then pairs of blocks whose members
+   are still in several components.
 5. Components by repeated min-label contraction; copies get their node's component.
 """
 
@@ -48,7 +49,7 @@ class Shingler:
     """Shingle hashes of texts; words are runs without ASCII white space, A-Z lower-cased."""
 
     def __init__(self, k: int):
-        self.k, self.held = k, Memo(200_000)
+        self.k, self.held = k, Memo(100_000)
 
     def _word(self, word: bytes) -> int:
         h = self.held.get(word)
@@ -232,6 +233,7 @@ class Tree:
         self.node = frame["node"].to_numpy()
         self.size = frame["n_shingles"].to_numpy()
         self.root = frame["root"].to_numpy()
+        self.shingles = frame["shingles"].to_list()
         bits = np.array(frame["bits"].tolist(), np.int64).view(np.uint64).reshape(len(frame), -1)
         width = 1 << max(len(frame) - 1, 0).bit_length()
         self.levels = [self._padded(width, bits)]
@@ -290,14 +292,35 @@ def dual_traversal(x: Tree, y: Tree, t: tuple[int, int]) -> tuple[np.ndarray, np
     return i, j
 
 
-def _tree_pairs(t: tuple[int, int]):
+def _tree_links(t: tuple[int, int]):
+    """Verified links between different components among the members of one block or two, enough to join
+    what they join: a pair whose ends are together already is passed over, likely pairs come first."""
+    p, q = t
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         sides = frame["side"].to_numpy()
         x = Tree(frame[sides == 0] if (sides == 0).any() else frame)
         y = x if not (sides == 1).any() else Tree(frame[sides == 1])
         i, j = dual_traversal(x, y, t)
-        a, b = x.node[i], y.node[j]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})[lambda f: f.a < f.b].drop_duplicates()
+        apart = np.bitwise_count(x.levels[0][2][i] ^ y.levels[0][2][j]).sum(1)
+        parent: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                parent[c] = c = parent.get(up, up)
+            return c
+
+        out = []
+        for k in np.argsort(apart, kind="stable").tolist():
+            a, b = find(int(x.root[i[k]])), find(int(y.root[j[k]]))
+            if a == b:
+                continue
+            one, other = x.shingles[i[k]], y.shingles[j[k]]
+            both = len(np.intersect1d(one, other, assume_unique=True))
+            if q * both >= p * (len(one) + len(other) - both):
+                parent[a] = b
+                out.append((x.node[i[k]], y.node[j[k]]))
+        return pd.DataFrame(out, columns=["a", "b"])
 
     return run
 
@@ -335,11 +358,13 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", k: int = 3, t: tupl
     links = written(verified(stars, sets, t), "links")
 
     roots = components(links)
-    rest = _residual(grouped, roots, sets, nodes)
-    pairs = rest.groupBy("sig", "bx", "by").applyInPandas(_tree_pairs(t), "a long, b long").distinct()
-    pairs = written(pairs, "pairs")
-    if pairs.limit(1).count():
-        roots = components(links.unionByName(verified(pairs, sets, t)))
+    for within in (True, False):
+        # First inside blocks; only components that are still apart are then searched across blocks.
+        rest = _residual(grouped, roots, sets, nodes, within)
+        more = written(rest.groupBy("sig", "bx", "by").applyInPandas(_tree_links(t), "a long, b long"), "links")
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            roots = components(links)
     labels = nodes.join(roots, "node", "left").select("node", "_least", F.coalesce("root", "node").alias("root"))
     least = labels.groupBy("root").agg(F.min("_least").alias("component_id"))
     of_node = written(labels.join(least, "root").select("node", "component_id"), "labels")
@@ -347,19 +372,22 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", k: int = 3, t: tupl
     return out.select(F.col("_id").alias(id_col), "n_shingles", F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _residual(grouped: DataFrame, roots: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Members of the groups that hold several components, dealt to pairs of blocks: a group of m members
-    has ceil(m / BLOCK) blocks, and a member goes to each pair that its block is in."""
+def _residual(grouped: DataFrame, roots: DataFrame, sets: DataFrame, nodes: DataFrame, within: bool) -> DataFrame:
+    """Members of the groups that hold several components, dealt to blocks: a group of m members has
+    ceil(m / BLOCK) of them. ``within``: each member to its own block; else to each pair of different blocks
+    that its own is in."""
     placed = grouped.filter("members > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("sig").agg(F.min("root").alias("_x"), F.max("root").alias("_y"), F.bit_xor(F.xxhash64("node")).alias("_who"), F.count("*").alias("_n"))
     mixed = mixed.filter("_x <> _y")
     # Groups of the same members need one search.
     mixed = mixed.groupBy("_who", "_n").agg(F.min("sig").alias("sig"))
-    some = placed.join(mixed.select("sig", "_n"), "sig").join(sets.select("node", "bits"), "node").join(nodes.select("node", "n_shingles"), "node")
+    some = placed.join(mixed.select("sig", "_n"), "sig")
     blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
-    some = some.withColumn("_b", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    some = some.withColumn("_b", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    some = some.withColumn("_o", F.explode(F.array("_b") if within else F.array_except(F.sequence(F.lit(0), blocks - 1), F.array("_b"))))
+    some = some.join(sets, "node").join(nodes.select("node", "n_shingles"), "node")
     return some.select(
-        "sig", "node", "root", "n_shingles", "bits", F.least("_b", "_o").alias("bx"), F.greatest("_b", "_o").alias("by"),
+        "sig", "node", "root", "n_shingles", "bits", "shingles", F.least("_b", "_o").alias("bx"), F.greatest("_b", "_o").alias("by"),
         F.when(F.col("_b") <= F.col("_o"), 0).otherwise(1).alias("side"),
     )
 

@@ -128,9 +128,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     # A document counts once for a chunk; what it repeats itself is found on its own below.
     apart = rows.select("_id", F.explode(F.array_distinct("chunks")).alias("chunks"))
     first = apart.groupBy("chunks").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    first = written(first.select("chunks", "_first"), "firsts")
-    few = first.count() <= 1_500_000  # 16 bytes each: what is broadcast stays under 24 MB
-    hits = spread.join(F.broadcast(first) if few else first, "chunks").filter("_first < _id").select("_id", "_hash", "_at", "_first", "words")
+    hits = spread.join(first.select("chunks", "_first"), "chunks").filter("_first < _id").select("_id", "_hash", "_at", "_first", "words")
     own = rows.filter(F.size(F.array_distinct("chunks")) < F.size("chunks"))
     own = own.select("_id", "_hash", F.posexplode(F.arrays_zip("chunks", "words")).alias("_at", "_c")).select("_id", "_hash", "_at", "_c.*")
     again = Window.partitionBy("_id", "_hash", "chunks").orderBy("_at")
@@ -158,17 +156,21 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
             yield frame.drop(columns=["_runs"])
 
     made = "_cut struct<text:string,spans:array<struct<start:long,end:long>>,bytes:long,ids:array<long>>"
-    out = met.mapInPandas(run, StructType([*met.select(*plain).schema.fields, *StructType.fromDDL(made).fields]))
+    # Only documents with a run to cut pass through Python.
+    done = met.filter(F.col("_runs").isNotNull() & F.col(text).isNotNull()).mapInPandas(run, StructType([*met.select(*plain).schema.fields, *StructType.fromDDL(made).fields]))
     names = [F.col("_cut.text").alias(text) if c == text else F.col(c) for c in plain]
-    return out.select(
+    cut_rows = done.select(
         *names, F.col("_cut.spans").alias("removed_spans"), F.col("_cut.bytes").alias("removed_bytes"),
         F.transform("_cut.ids", lambda x: F.when(x != last, x)).alias("first_ids"),
     )
+    none = F.array()
+    whole = met.filter(F.col("_runs").isNull() | F.col(text).isNull()).select(
+        *plain, none.cast("array<struct<start:long,end:long>>").alias("removed_spans"), F.lit(0).cast("long").alias("removed_bytes"), none.cast("array<long>").alias("first_ids")
+    )
+    return whole.unionByName(cut_rows)
 
 
 def _cut_one(text, found) -> dict:
-    if found is None or text is None:
-        return {"text": text, "spans": [], "bytes": 0, "ids": []}
     data = _bytes(text)
     ends = [0, *boundaries(data).tolist()]
     kept, at, spans, ids = [], 0, [], set()

@@ -63,6 +63,16 @@ def test_same_components_as_brute_force(spark, k, t):
     assert sorted((tuple(r) for r in got), key=repr) == brute(rows, k, *t)
 
 
+def test_groups_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jj, "BLOCK", 8)
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(70)]
+    rows = [(i, " ".join(edited(r, base, r.choice([0, 1, 1, 2, 3])))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jj.link_components(docs).collect()
+    assert sorted((tuple(x) for x in got), key=repr) == brute(rows, 3, 9, 10)
+
+
 def test_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(None, text), (None, text), (4, text), (4, "other words here now"), (9, "long" * 100_000), (None, "alone in the world")]
@@ -79,11 +89,24 @@ def test_tree_keeps_every_link():
         base = sets[r.randrange(len(sets))] if sets and r.random() < 0.6 else {r.randrange(2**63) for _ in range(r.choice([20, 60, 300]))}
         own = {x for x in base if r.random() > 0.03} | {r.randrange(2**63) for _ in range(r.randrange(3))}
         sets.append(own)
-        frame.append({"node": i, "n_shingles": len(own), "root": i, "bits": jj.bitmap(np.array(sorted(own), np.uint64)), "side": 0})
-    got = set(jj._tree_pairs((9, 10))(pd.DataFrame(frame)).itertuples(index=False, name=None))
+        hashes = np.array(sorted(own), np.uint64)
+        frame.append({"node": i, "n_shingles": len(own), "root": i, "bits": jj.bitmap(hashes), "shingles": hashes.view(np.int64), "side": 0})
+    tree = jj.Tree(pd.DataFrame(frame))
+    a, b = (tree.node[k] for k in jj.dual_traversal(tree, tree, (9, 10)))
+    got = {(int(x), int(y)) for x, y in zip(a, b, strict=True) if x < y}
     links = {(i, j) for i in range(90) for j in range(i + 1, 90) if 10 * len(sets[i] & sets[j]) >= 9 * len(sets[i] | sets[j])}
     assert links and links <= got
     assert len(got) < 90 * 89 / 4
+    joined = list(jj._tree_links((9, 10))(pd.DataFrame(frame)).itertuples(index=False, name=None))
+    assert {tuple(sorted(x)) for x in joined} <= links
+
+    def parts(pairs):
+        label = list(range(90))
+        for x, y in pairs:
+            label = [label[x] if c == label[y] else c for c in label]
+        return [label.index(c) for c in label]
+
+    assert parts(joined) == parts(links)
 
 
 def test_components_of_long_chains(spark):
