@@ -21,7 +21,9 @@ from .common import map_texts, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: States, and entries of each kind of memo, that a worker holds at most of before it starts anew.
-STATES, HELD = 120_000, 120_000
+STATES, HELD, PAIRS = 120_000, 120_000, 400_000
+#: Tokens of a piece that may be taken back before all its configurations are followed at once.
+TAKEN_BACK = 16
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -56,18 +58,20 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
-        # The trie of all tokens: (node * 256 + byte) -> node, 0 the root; which nodes end a token, which go on.
-        self.trie: dict[int, int] = {}
+        # The trie of all tokens: for each node (0 the root) its branches by byte; which nodes end a token.
+        self.trie: list[dict[int, int]] = [{}]
         self.token_at: dict[int, int] = {}
-        self.goes_on: set[int] = set()
         for data, token in ranks.items():
             node = 0
             for byte in data:
-                self.goes_on.add(node)
-                node = self.trie.setdefault(node << 8 | byte, len(self.trie) + 1)
+                branches = self.trie[node]
+                if byte not in branches:
+                    branches[byte] = len(self.trie)
+                    self.trie.append({})
+                node = branches[byte]
             self.token_at[node] = token
         self.parts: dict[int, tuple[int, int]] = {}
-        self.pairs = Memo()
+        self.pairs = Memo(PAIRS)
         self._reset()
 
     def _reset(self) -> None:
@@ -136,30 +140,48 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        # With one configuration: the longest token that may follow, read a few bytes past its end. If that
-        # reaches the end of the piece, each token follows the one before it, and only one division of a
-        # piece has this property. Else all configurations are followed.
-        out_list: list[int] = []
+        # One configuration first: the longest token that may follow, read a few bytes past its end. Where none
+        # may, the last token is taken back for the next shorter one. Only one division of a prefix has tokens
+        # that all may follow the ones before, so a position left this way is never tried again, and reaching
+        # the end proves the division. After many such steps all configurations are followed at once.
+        path: list[int] = []
+        held: list[tuple[int, list[tuple[int, int]]]] = []
+        dead: set[int] = set()
         last, i, n = -1, 0, len(piece)
-        trie, token_at, pairs = self.trie, self.token_at, self.pairs.young
-        while i < n:
-            node, ends = 0, []
-            for j in range(i, n):
-                node = trie.get(node << 8 | piece[j])
-                if node is None:
-                    break
-                token = token_at.get(node)
-                if token is not None:
-                    ends.append((token, j + 1))
-            for token, end in reversed(ends):
+        pairs = self.pairs.young
+        ends = self._ends(piece, 0)
+        while True:
+            while ends:
+                token, end = ends.pop()
+                if end in dead:
+                    continue
                 known = pairs.get(last << 32 | token)
                 if self.follows(last, token) if known is None else known:
-                    out_list.append(token)
+                    path.append(token)
+                    if end == n:
+                        return tuple(path)
+                    held.append((i, ends))
                     last, i = token, end
+                    ends = self._ends(piece, end)
                     break
             else:
-                return self.all_configurations(piece)
-        return tuple(out_list)
+                if not path or len(dead) == TAKEN_BACK:
+                    return self.all_configurations(piece)
+                dead.add(i)
+                path.pop()
+                i, ends = held.pop()
+                last = path[-1] if path else -1
+
+    def _ends(self, piece: bytes, start: int) -> list[tuple[int, int]]:
+        """Tokens that begin at ``start``, each with its end, shortest first."""
+        trie, token_at, node, out = self.trie, self.token_at, 0, []
+        for j in range(start, len(piece)):
+            node = trie[node].get(piece[j])
+            if node is None:
+                break
+            if node in token_at:
+                out.append((token_at[node], j + 1))
+        return out
 
     def all_configurations(self, piece: bytes) -> tuple[int, ...]:
         if len(self.states) > STATES:
@@ -184,10 +206,10 @@ class Transducer:
         moved = []
         pairs = self.pairs.young
         for path, node in configs:
-            node = self.trie.get(node << 8 | byte)
+            node = self.trie[node].get(byte)
             if node is None:
                 continue
-            if node in self.goes_on:
+            if self.trie[node]:
                 moved.append((path, node))
             token = self.token_at.get(node)
             if token is not None:

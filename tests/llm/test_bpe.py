@@ -71,3 +71,12 @@ def test_query_rows(spark, ranks, library):
     back = bpe.decode_ids(coded, ["doc_id"], ranks).collect()
     assert {(x.doc_id, x.text) for x in back} == {(k, t or "") for k, t in rows}
     assert bpe.encode_texts(docs.limit(0), ["doc_id"], ranks, public_tokenizers.PATTERN).collect() == []
+
+
+def test_taking_back_and_all_configurations_agree(ranks, monkeypatch):
+    machine, other = bpe.Transducer(ranks), bpe.Transducer(ranks)
+    pick = random.Random(5)
+    pieces = ["".join(pick.choice("abcdeést ночьтр的") for _ in range(pick.randrange(1, 40))).encode() for _ in range(1500)]
+    one = [machine.encode(p) for p in pieces]
+    monkeypatch.setattr(bpe, "TAKEN_BACK", 0)
+    assert [other.encode(p) for p in pieces] == one
