@@ -1,9 +1,11 @@
-"""Substring dedup: content-defined chunks, deduplicated by digest.
-
-A gear hash rolls over a text's bytes; where its top bits are zero a chunk ends, at the next word. So
-chunks follow from the bytes around them alone, and an insertion moves no boundary but its own. A chunk
-whose digest stands in a document of a smaller id, or earlier in the same one, is a repeat. A run of
-repeats of MIN_WORDS words and more is cut out; shorter ones are common phrases and stay.
+"""Substring dedup: word grams, winnowed to find where texts agree, then compared at every word.
+
+A gram is GRAM words in a row, as one digest. Of the grams in each window the least is a text's
+fingerprint, so two texts that share min_words words in a row share a fingerprint there, whatever stands
+around them. Only near fingerprints that occur twice are all grams compared: one that stands in a document
+of a smaller id, or earlier in the same one, is a repeat. Grams that repeat at each word of min_words words
+and more in a row are cut out, from the first of these words to the last; shorter runs are common phrases
+and stay.
 """
 
 from __future__ import annotations
@@ -17,38 +19,23 @@ from pyspark.sql.types import StructType
 
 from .common import map_texts, table, written
 
-#: Bytes of a chunk: on average 2 ** BITS past the least word, and at most; words of a run that is cut.
-BITS, LONGEST, MIN_WORDS = 5, 1024, 30
-
-
-def gear_table() -> np.ndarray:
-    x = np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((x ^ (x >> np.uint64(27))) >> np.uint64(20)).astype(np.uint16)
-
-
-GEAR = gear_table()
+#: Bytes that a word without white space may have before it is divided; words of a gram; words of a run that is cut.
+LONGEST, GRAM, MIN_WORDS = 1024, 16, 30
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def boundaries(data: bytes) -> np.ndarray:
-    """Ends of the chunks of a text's UTF-8 bytes, the last being its length; each chunk after the first
-    begins with a word, or with a character where no word begins for LONGEST bytes."""
+    """Ends of the words of a text's UTF-8 bytes, each with the white space after it (the first with that
+    before it, too), the last being its length. Words of more than LONGEST bytes are divided."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
     raw = np.frombuffer(data, np.uint8)
-    h = GEAR[raw]
-    # h[i] = sum of GEAR[byte i-j] << j over 16 bytes, by doubling.
-    for span in (1, 2, 4, 8):
-        if n > span:
-            h[span:] = h[span:] + (h[:-span] << np.uint16(span))
-    marks = np.flatnonzero(h >> np.uint16(16 - BITS) == 0) + 1
     space = _SPACE[raw]
     begins = np.flatnonzero(~space[1:] & space[:-1]) + 1
-    at = np.searchsorted(begins, marks)
-    ends = np.append(begins, n)[at]
-    ends = np.unique(np.append(ends, n))
+    if space[0]:
+        begins = begins[1:]
+    ends = np.append(begins, n)
     if np.diff(ends, prepend=0).max() > LONGEST:
         ends = _split_long(raw, ends)
     return ends
@@ -68,48 +55,97 @@ def _split_long(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def digests(data: bytes, ends: np.ndarray) -> tuple[list[int], list[int]]:
-    """Signed 64-bit digests of the chunks, without the white space at their ends, and their words."""
-    out, words, start = [], [], 0
-    for end in ends.tolist():
-        chunk = data[start:end].rstrip()
-        x = xxhash.xxh3_64_intdigest(chunk)
-        out.append(x - (1 << 64) if x >> 63 else x)
-        words.append(len(chunk.split()))
-        start = end
-    return out, words
+def digests(data: bytes, ends: np.ndarray, k: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit digests of the words, without white space around them, and of the k words from each on."""
+    held = data.split()
+    if len(held) != len(ends):
+        held = [data[a:b].strip() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    words = np.fromiter(map(xxhash.xxh3_64_intdigest, held), np.uint64, len(held))
+    n = max(len(words) - k + 1, 0)
+    grams = np.zeros(n, np.uint64)
+    for j in range(k):
+        grams = (grams ^ (grams >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + words[j : j + n]
+    return words, (grams ^ (grams >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def fingerprints(grams: np.ndarray, window: int) -> np.ndarray:
+    """Places of the least grams of all windows; none where there is no whole window."""
+    if len(grams) < window:
+        return np.zeros(0, np.int64)
+    seen = np.lib.stride_tricks.sliding_window_view(grams, window)
+    return np.unique(seen.argmin(1) + np.arange(len(seen)))
 
 
 def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def chunk_digests(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` with the digests of a text's chunks in order, and their words."""
+def _grams(text: str | None, k: int) -> np.ndarray:
+    data = _bytes(text)
+    return digests(data, boundaries(data), k)[1]
+
+
+def text_fingerprints(docs: DataFrame, keep: list[str], k: int, window: int, text: str = "text") -> DataFrame:
+    """``keep`` with the fingerprints of a text and their places in order."""
 
     def make():
         def run(texts):
-            held = [_bytes(t) for t in texts]
-            return tuple(zip(*[digests(b, boundaries(b)) for b in held], strict=True))
+            grams = [_grams(t, k) for t in texts]
+            at = [fingerprints(g, window) for g in grams]
+            return [g[a].view(np.int64) for g, a in zip(grams, at, strict=True)], at
 
         return run
 
-    return map_texts(docs, keep, text, "chunks array<long>, words array<int>", make)
+    return map_texts(docs, keep, text, "prints array<long>, places array<int>", make)
 
 
-def runs(hits: list[tuple[int, int, int]], min_words: int) -> list[tuple[int, int, list[int]]]:
-    """Runs (first chunk, one past the last, ids of first occurrences) of min_words words and more, from
-    the repeated chunks (place, id of the first occurrence, words)."""
+def near(places: list[int], window: int) -> list[tuple[int, int]]:
+    """Stretches (first gram, one past the last) with all grams less than a window from one of the places."""
+    out: list[list[int]] = []
+    for at in sorted(places):
+        a, b = max(at - window + 1, 0), at + window
+        if out and a <= out[-1][1]:
+            out[-1][1] = b
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def grams_near(text: str | None, stretches: list[tuple[int, int]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grams in the stretches, their places, and whether one stands at an earlier place, too."""
+    grams = _grams(text, k)
+    at = np.concatenate([np.arange(a, min(b, len(grams))) for a, b in stretches]).astype(np.int32)
+    grams = grams[at]
+    again = np.ones(len(grams), bool)
+    again[np.unique(grams, return_index=True)[1]] = False
+    return grams.view(np.int64), at, again
+
+
+def runs(hits: list[tuple[int, int]], k: int, min_words: int) -> list[tuple[int, int, list[int]]]:
+    """Runs (first word, one past the last, ids of first occurrences) of min_words words and more, from
+    the repeated grams (place, id of the first occurrence)."""
     out, held = [], []
-    for at, first, words in [*sorted(hits), (-1, 0, 0)]:
+    for at, first in [*sorted(hits), (-1, 0)]:
         if held and at != held[-1][0] + 1:
-            if sum(w for _, _, w in held) >= min_words:
-                out.append((held[0][0], held[-1][0] + 1, sorted({f for _, f, _ in held})))
+            a, b, ids = held[0][0], held[-1][0] + k, {f for _, f in held}
+            if b - a >= min_words:
+                if out and a <= out[-1][1]:  # grams over the place where two passages meet are no repeats
+                    a, _, more = out.pop()
+                    ids |= set(more)
+                out.append((a, b, sorted(ids)))
             held = []
-        held.append((at, first, words))
+        held.append((at, first))
     return out
 
 
+def _met(docs: DataFrame, found: DataFrame, items, how: str) -> DataFrame:
+    """``docs`` with what was found in each; ``found`` is sent to all executors where its items are few."""
+    size = found.agg(F.sum(items)).first()[0] or 0
+    small = size <= 1_000_000  # under 48 bytes for each run and id
+    on = (docs["_id"] == found["_id"]) & docs["_hash"].eqNullSafe(found["_hash"])
+    return docs.join(F.broadcast(found) if small else found, on, how).drop(found["_id"], found["_hash"])
+
+
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with text cut, and the columns removed_spans (byte ranges of the old text), removed_bytes and
     first_ids (ids of the documents that hold the first occurrences of what was cut).
@@ -123,31 +159,47 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     docs = docs.drop(*new)
     last = F.lit((1 << 63) - 1)
     keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), last)).withColumn("_hash", F.xxhash64(text))
-    rows = written(chunk_digests(keyed, ["_id", "_hash"], text).dropDuplicates(["_id", "_hash"]), "chunks")
-    spread = rows.select("_id", "_hash", F.posexplode(F.arrays_zip("chunks", "words")).alias("_at", "_c")).select("_id", "_hash", "_at", "_c.*")
-    # A document counts once for a chunk; what it repeats itself is found on its own below.
-    apart = rows.select("_id", F.explode(F.array_distinct("chunks")).alias("chunks"))
-    first = apart.groupBy("chunks").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    hits = spread.join(first.select("chunks", "_first"), "chunks").filter("_first < _id").select("_id", "_hash", "_at", "_first", "words")
-    own = rows.filter(F.size(F.array_distinct("chunks")) < F.size("chunks"))
-    own = own.select("_id", "_hash", F.posexplode(F.arrays_zip("chunks", "words")).alias("_at", "_c")).select("_id", "_hash", "_at", "_c.*")
-    again = Window.partitionBy("_id", "_hash", "chunks").orderBy("_at")
-    inner = own.withColumn("_k", F.row_number().over(again)).filter("_k > 1").select("_id", "_hash", "_at", F.col("_id").alias("_first"), "words")
-    # A document's repeats are as many as its chunks at most.
-    marked = hits.unionByName(inner).groupBy("_id", "_hash", "_at").agg(F.min("_first").alias("_first"), F.first("words").alias("words"))
-    marked = marked.groupBy("_id", "_hash").agg(F.collect_list(F.struct("_at", "_first", "words")).alias("_hits"), F.sum("words").alias("_w")).filter(F.col("_w") >= min_words)
+    k = min(GRAM, min_words)
+    window = min_words - k + 1
+    prints = written(text_fingerprints(keyed, ["_id", "_hash"], k, window, text), "fingerprints")
+    spread = prints.select("_id", "_hash", F.explode(F.arrays_zip("prints", "places")).alias("_p")).select("_id", "_hash", "_p.*")
+    shared = prints.select(F.explode("prints").alias("prints")).groupBy("prints").agg(F.count("*").alias("_n")).filter("_n > 1").select("prints")
+    # A document's places are as many as its words at most.
+    places = spread.join(shared, "prints").groupBy("_id", "_hash").agg(F.collect_set("places").alias("_places"))
+
+    @F.pandas_udf("array<struct<a:int,b:int>>")
+    def stretches_of(column: pd.Series) -> pd.Series:
+        return column.map(lambda p: [{"a": a, "b": b} for a, b in near(p.tolist(), window)])
+
+    stretches = written(places.select("_id", "_hash", stretches_of("_places").alias("_near")), "stretches")
+
+    def compare(batches):
+        for frame in batches:
+            held, size = [], 0
+            for i, found, x, value in zip(frame["_id"], frame["_near"], frame["_hash"], frame["_value"], strict=True):
+                held.append((i, x, *grams_near(value, [(s["a"], s["b"]) for s in found], k)))
+                size += len(held[-1][2])
+                if size > 1 << 18:
+                    yield pd.DataFrame(held, columns=made)
+                    held, size = [], 0
+            yield pd.DataFrame(held, columns=made)
+
+    made = ["_id", "_hash", "grams", "_at", "_again"]
+    asked = _met(keyed.select("_id", "_hash", F.col(text).alias("_value")), stretches, F.size("_near"), "inner")
+    rows = written(asked.mapInPandas(compare, "_id long, _hash long, grams array<long>, _at array<int>, _again array<boolean>"), "grams")
+    each = rows.select("_id", "_hash", F.explode(F.arrays_zip("grams", "_at", "_again")).alias("_g")).select("_id", "_hash", "_g.*")
+    first = rows.select("_id", F.explode("grams").alias("grams")).groupBy("grams").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    hits = each.join(first.select("grams", "_first"), "grams").filter("_first < _id or _again")
+    # A document's repeats are as many as its words at most.
+    marked = hits.groupBy("_id", "_hash").agg(F.collect_set(F.struct("_at", "_first")).alias("_hits")).filter(F.size("_hits") >= window)
 
     @F.pandas_udf("array<struct<a:int,b:int,ids:array<long>>>")
-    def runs_of(column: pd.Series) -> pd.Series:
-        return column.map(lambda h: [{"a": a, "b": b, "ids": ids} for a, b, ids in runs([(int(x["_at"]), int(x["_first"]), int(x["words"])) for x in h], min_words)])
+    def runs_of(places: pd.Series, firsts: pd.Series) -> pd.Series:
+        found = (runs(list(zip(p.tolist(), f.tolist(), strict=True)), k, min_words) for p, f in zip(places, firsts, strict=True))
+        return pd.Series([[{"a": a, "b": b, "ids": ids} for a, b, ids in x] for x in found], dtype=object)
 
-    marked = written(marked.select("_id", "_hash", runs_of("_hits").alias("_runs")).filter(F.size("_runs") > 0), "runs")
-    size = marked.agg(F.sum(F.size("_runs") + F.size(F.flatten("_runs.ids")))).first()[0] or 0
-    small = size <= 1_000_000  # under 48 bytes for each run and id
-    met = keyed.join(
-        F.broadcast(marked) if small else marked,
-        (keyed["_id"] == marked["_id"]) & keyed["_hash"].eqNullSafe(marked["_hash"]), "left",
-    ).drop("_id", "_hash")
+    marked = written(marked.select("_id", "_hash", runs_of("_hits._at", "_hits._first").alias("_runs")).filter(F.size("_runs") > 0), "runs")
+    met = _met(keyed, marked, F.size("_runs") + F.size(F.flatten("_runs.ids")), "left").drop("_id", "_hash")
     plain = [c for c in met.columns if c != "_runs"]
 
     def run(batches):

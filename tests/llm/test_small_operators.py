@@ -127,3 +127,22 @@ def test_nearest_vectors(spark):
     assert ann.nearest(vectors.limit(0), vectors.limit(0)).collect() == []
     few = vectors.filter("vec_id < 3")
     assert ann.nearest(few, few).groupBy("query_id").count().filter("count <> 2").count() == 0
+
+
+def test_passages_just_over_fifty_words_are_cut_whole(spark):
+    rows, planted = [], {}
+    for seed in range(60):
+        r = random.Random(seed)
+        passage = " ".join(words(r, 51 + seed % 10))
+        for copy in (0, 1):
+            a, b = " ".join(words(r, 40)), " ".join(words(r, 40))
+            rows.append((2 * seed + copy, f"{a} {passage} {b}"))
+            planted[2 * seed + copy] = f"{a} {passage} {b}" if copy == 0 else f"{a} {b}"
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x for x in substring_dedup.dedup_substrings(docs).collect()}
+    assert {i: x.text for i, x in got.items()} == planted
+    assert all(got[i].first_ids == ([i - 1] if i % 2 else []) for i in planted)
+
+
+def test_passages_that_meet_are_one_cut():
+    assert substring_dedup.runs([*((i, 1) for i in range(20)), *((i, 2) for i in range(35, 55)), *((i, 1) for i in range(80, 94))], 16, 30) == [(0, 70, [1, 2])]
