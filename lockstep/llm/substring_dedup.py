@@ -19,14 +19,27 @@ from pyspark.sql.types import StructType
 
 from .common import map_texts, table, written
 
-#: Bytes that a word without white space may have before it is divided; words of a gram; words of a run that is cut.
-LONGEST, GRAM, MIN_WORDS = 1024, 16, 30
+#: Bytes of a word past which it is divided, and of a part of it at most; parts are 2 ** BITS bytes on average.
+UNSPACED, LONGEST, BITS = 64, 1024, 3
+#: Words of a gram, and of a run that is cut.
+GRAM, MIN_WORDS = 16, 30
+
+
+def gear_table() -> np.ndarray:
+    x = np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ (x >> np.uint64(27))) >> np.uint64(20)).astype(np.uint16)
+
+
+GEAR = gear_table()
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def boundaries(data: bytes) -> np.ndarray:
     """Ends of the words of a text's UTF-8 bytes, each with the white space after it (the first with that
-    before it, too), the last being its length. Words of more than LONGEST bytes are divided."""
+    before it, too), the last being its length. Words of more than UNSPACED bytes, as in scripts without
+    spaces, are divided at characters where a gear hash of the 16 bytes before has its top bits zero: the
+    parts stand for words and follow from the bytes around them alone."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
@@ -36,11 +49,30 @@ def boundaries(data: bytes) -> np.ndarray:
     if space[0]:
         begins = begins[1:]
     ends = np.append(begins, n)
+    wide = np.add.reduceat(~space, np.append(0, begins), dtype=np.int64) > UNSPACED
+    if wide.any():
+        at = _marks(raw)
+        at = at[~space[at]]
+        ends = np.unique(np.append(ends, at[wide[np.searchsorted(ends, at, "right")]]))
     if np.diff(ends, prepend=0).max() > LONGEST:
         ends = _split_long(raw, ends)
     return ends
 
 
+def _marks(raw: np.ndarray) -> np.ndarray:
+    """Characters' begins, from the second on, at or next after the marks of the gear hash."""
+    h = GEAR[raw]
+    # h[i] = sum of GEAR[byte i-j] << j over 16 bytes, by doubling.
+    for span in (1, 2, 4, 8):
+        if len(h) > span:
+            h[span:] = h[span:] + (h[:-span] << np.uint16(span))
+    marks = np.flatnonzero(h >> np.uint16(16 - BITS) == 0) + 1
+    begins = np.flatnonzero(raw & 0xC0 != 0x80)
+    begins = begins[begins > 0]
+    at = np.searchsorted(begins, marks)
+    return np.unique(begins[at[at < len(begins)]])
+
+
 def _split_long(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
     out, start = [], 0
     for end in ends.tolist():

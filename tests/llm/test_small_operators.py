@@ -144,5 +144,16 @@ def test_passages_just_over_fifty_words_are_cut_whole(spark):
     assert all(got[i].first_ids == ([i - 1] if i % 2 else []) for i in planted)
 
 
+def test_passages_without_spaces_are_cut(spark):
+    r = random.Random(6)
+    unspaced = lambda n: "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    passage, own = unspaced(400), [unspaced(300 + i) for i in range(4)]
+    rows = [(0, own[0] + passage + own[1]), (1, own[2] + passage + own[3]), (2, own[0] + passage + own[1]), (3, own[1])]
+    got = {x.doc_id: x for x in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].text == rows[0][1] and got[2].text == "" and got[2].first_ids == [0]
+    assert got[1].text.startswith(own[2]) and got[1].text.endswith(own[3]) and len(got[1].text) < len(own[2]) + len(own[3]) + 60
+    assert len(got[3].text) < 60
+
+
 def test_passages_that_meet_are_one_cut():
     assert substring_dedup.runs([*((i, 1) for i in range(20)), *((i, 2) for i in range(35, 55)), *((i, 1) for i in range(80, 94))], 16, 30) == [(0, 70, [1, 2])]
