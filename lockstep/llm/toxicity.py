@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .bpe import Memo
 from .common import map_texts, table
 
-BUCKETS, NGRAMS = 1 << 18, (3, 4, 5, 6)
+BUCKETS, NGRAMS, LONGEST = 1 << 18, (3, 4, 5, 6), 64
 #: The bounds of training: rows of label 1 (three times as many of label 0, whose texts vary more),
 #: features, vector length, rounds, and standard errors that a feature must differ by.
 SAMPLE, FEATURES, DIM, ROUNDS, LEAST_Z = 1200, 4096, 8, 60, 6.0
@@ -30,12 +30,22 @@ def words(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def subwords(word: str) -> list[int]:
-    """Rows of the table for a word with its outer punctuation stripped; none for punctuation alone."""
+def stretches(word: str) -> list[list[int]]:
+    """Rows of the table for a word with its outer punctuation stripped; none for punctuation alone.
+
+    A word of more than LONGEST characters, as in scripts without spaces, is read whole in stretches that
+    share so many characters that each n-gram lies in one; each counts as a word."""
     core = word.strip(".,;:!?\"'()[]{}<>*#&%$-_/\\|")
     if not core:
         return []
-    form = f"<{core[:64]}>".encode("utf-8", "surrogatepass").decode("utf-8", "replace")
+    form = f"<{core}>".encode("utf-8", "surrogatepass").decode("utf-8", "replace")
+    size, shared = LONGEST + 2, max(NGRAMS) - 1
+    if len(form) <= size:
+        return [subwords(form)]
+    return [subwords(form[i : i + size]) for i in range(0, len(form) - shared, size - shared)]
+
+
+def subwords(form: str) -> list[int]:
     grams = {form, *(form[i : i + n] for n in NGRAMS for i in range(len(form) - n + 1))}
     return [zlib.crc32(g.encode()) % BUCKETS for g in grams]
 
@@ -46,8 +56,7 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     out: dict[int, float] = {}
     total = 0
     for word, n in counts.items():
-        rows = subwords(word)
-        if rows:
+        for rows in stretches(word):
             total += n
             for r in rows:
                 out[r] = out.get(r, 0.0) + n / len(rows)
@@ -135,9 +144,9 @@ class Scorer:
     def _word(self, word: str) -> tuple[float, int]:
         known = self.held.get(word)
         if known is None:
-            rows = subwords(word)
-            known = (sum([self.margins.get(r, 0.0) for r in rows]) / len(rows), 1) if rows else (0.0, 0)
-            if len(word) <= 64:
+            parts = stretches(word)
+            known = (sum(sum([self.margins.get(r, 0.0) for r in rows]) / len(rows) for rows in parts), len(parts))
+            if len(word) <= LONGEST:
                 self.held.put(word, known)
         return known
 

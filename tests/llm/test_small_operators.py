@@ -157,3 +157,17 @@ def test_passages_without_spaces_are_cut(spark):
 
 def test_passages_that_meet_are_one_cut():
     assert substring_dedup.runs([*((i, 1) for i in range(20)), *((i, 2) for i in range(35, 55)), *((i, 1) for i in range(80, 94))], 16, 30) == [(0, 70, [1, 2])]
+
+
+def test_toxicity_reads_long_words_whole():
+    r = random.Random(7)
+    joined = lambda n: "_".join(words(r, n))
+    bad = [f"{joined(40)}_blarg_{joined(r.randrange(40))}" for _ in range(100)]
+    good = [f"{joined(40)}_walks_{joined(r.randrange(40))}" for _ in range(100)]
+    model = toxicity.train([toxicity.bag(t) for t in good[:60] + bad[:60]], [0] * 60 + [1] * 60)
+    scorer = toxicity.Scorer(*model.margins())
+    assert np.mean([scorer.score(t) < 0.5 for t in good[60:]] + [scorer.score(t) >= 0.5 for t in bad[60:]]) > 0.95
+    for n in (63, 64, 65, 66, 67, 125, 126, 127, 500):
+        word = "".join(r.choice("abcdefgh") for _ in range(n))
+        rows = {x for part in toxicity.stretches(word) for x in part}
+        assert all(zlib.crc32(f"<{word}>"[i : i + m].encode()) % toxicity.BUCKETS in rows for m in toxicity.NGRAMS for i in range(n + 3 - m))
