@@ -38,7 +38,9 @@ def stretches(word: str) -> list[list[int]]:
     core = word.strip(".,;:!?\"'()[]{}<>*#&%$-_/\\|")
     if not core:
         return []
-    form = f"<{core}>".encode("utf-8", "surrogatepass").decode("utf-8", "replace")
+    form = f"<{core}>"
+    if not form.isascii():
+        form = form.encode("utf-8", "surrogatepass").decode("utf-8", "replace")
     size, shared = LONGEST + 2, max(NGRAMS) - 1
     if len(form) <= size:
         return [subwords(form)]
@@ -46,6 +48,9 @@ def stretches(word: str) -> list[list[int]]:
 
 
 def subwords(form: str) -> list[int]:
+    if form.isascii():
+        raw = form.encode()
+        return [zlib.crc32(g) % BUCKETS for g in {raw, *[raw[i : i + n] for n in NGRAMS for i in range(len(raw) - n + 1)]}]
     grams = {form, *(form[i : i + n] for n in NGRAMS for i in range(len(form) - n + 1))}
     return [zlib.crc32(g.encode()) % BUCKETS for g in grams]
 
