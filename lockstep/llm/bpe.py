@@ -1,10 +1,12 @@
 """Byte-level BPE: a lazily determinised transducer for encoding, a streaming decoder.
 
-Encoding reads a piece byte by byte. A configuration is (pending tokens, bytes of an open token); a
-byte extends the open token and may close it, where a token may follow another only if the merges leave
-the two side by side. At each byte one configuration at most has no open token. Tokens that all
-configurations share at the front are emitted at once: lookahead is bounded by the longest token. Sets
-of configurations are the states of a deterministic machine, built as texts reach them.
+A configuration of the machine is an open token: the token before it and its place in the trie of all tokens.
+A byte moves each configuration along the trie; where that ends a token which the merges leave beside the one
+before, the token closes there and a new configuration begins behind it. Only one division of a piece has
+neighbours that all stand the merges, so at each byte one token closes at most. Sets of configurations are
+the states of a deterministic machine, whose moves are made when texts first ask for them. A move says
+which token closes at its byte; the tokens that all open configurations agree on are emitted, after a
+lookahead of a few lengths of the longest token at most.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from pyspark.sql import functions as F
 from .common import map_texts, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: States, and entries of each kind of memo, that a worker holds at most of before it starts anew.
-STATES, HELD, PAIRS = 120_000, 120_000, 400_000
-#: Tokens of a piece that may be taken back before all its configurations are followed at once.
-TAKEN_BACK = 16
+#: States, entries of a memo's generation, pairs of tokens that a worker holds at most of before it starts anew.
+STATES, HELD, PAIRS = 250_000, 120_000, 400_000
+#: Bytes of a piece after which settled tokens are emitted.
+STRETCH = 4096
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -58,26 +60,32 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
-        # The trie of all tokens: for each node (0 the root) its branches by byte; which nodes end a token.
-        self.trie: list[dict[int, int]] = [{}]
-        self.token_at: dict[int, int] = {}
+        self.length = {i: len(b) for b, i in ranks.items()}
+        # The trie of all tokens, its root 0: by node << 8 | byte the next node, the token that ends there (or -1)
+        # and whether longer ones go on.
+        nodes: dict[int, int] = {}
+        self.depth, ends, inner = [0], {}, set()
         for data, token in ranks.items():
             node = 0
             for byte in data:
-                branches = self.trie[node]
-                if byte not in branches:
-                    branches[byte] = len(self.trie)
-                    self.trie.append({})
-                node = branches[byte]
-            self.token_at[node] = token
+                inner.add(node)
+                key = node << 8 | byte
+                if key not in nodes:
+                    nodes[key] = len(self.depth)
+                    self.depth.append(self.depth[node] + 1)
+                node = nodes[key]
+            ends[node] = token
+        self.trie = {key: (node, ends.get(node, -1), node in inner) for key, node in nodes.items()}
         self.parts: dict[int, tuple[int, int]] = {}
-        self.pairs = Memo(PAIRS)
+        self.pairs: dict[int, bool] = {}
+        self.made = 0
         self._reset()
 
     def _reset(self) -> None:
-        """A state is a dict from a byte to (settled tokens, next state); under -1 it holds what it stands
-        for: the last settled token (or -1), and for each configuration its pending tokens and trie node."""
-        self.start = {-1: (-1, (((), 0),))}
+        """A state is a dict from a byte to the next state. Under -1 it holds what it stands for, the token before
+        and the trie node of each open token in turn; under -2 the token that closed at the byte that led here, or
+        -1. A node of 0 is that of the token to begin."""
+        self.start = {-1: (-1, 0), -2: -1}
         self.states = {self.start[-1]: self.start}
 
     def merge(self, data: bytes, below: int = 1 << 62) -> list[int]:
@@ -106,28 +114,18 @@ class Transducer:
         The merges build a and b apart unless some merge across the border comes earlier than the ones
         that close it off: the border's tokens are taken apart from the latest merge back, and at each
         stage the merge across must not exist or come later than what was undone."""
-        key = a << 32 | b
-        known = self.pairs.get(key)
-        if known is None:
-            known = self._follows(a, b)
-            self.pairs.put(key, known)
-        return known
-
-    def _reachable(self, token: int) -> bool:
-        left, right = self.halves(token)
-        return left != token or len(self.bytes_of[token]) == 1
-
-    def _follows(self, a: int, b: int) -> bool:
-        if not self._reachable(b):
+        parts, ranks, bytes_of = self.parts, self.ranks, self.bytes_of
+        one = parts.get(b) or self.halves(b)
+        if one[0] == b and self.length[b] > 1:
             return False
         if a < 0:
             return True
         limit = 1 << 62
         while True:
-            across = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
-            if across is not None and across < limit and self.halves(across) == (a, b):
+            across = ranks.get(bytes_of[a] + bytes_of[b])
+            if across is not None and across < limit and (parts.get(across) or self.halves(across)) == (a, b):
                 return False
-            inner_a, inner_b = self.halves(a)[1], self.halves(b)[0]
+            inner_a, inner_b = (parts.get(a) or self.halves(a))[1], (parts.get(b) or self.halves(b))[0]
             # The later of the two last merges is undone first; at equal places the left one came first.
             if inner_a != a and (a > b or inner_b == b):
                 limit, a = a, inner_a
@@ -137,137 +135,136 @@ class Transducer:
                 return True
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return (whole,)
-        # One configuration first: the longest token that may follow, read a few bytes past its end. Where none
-        # may, the last token is taken back for the next shorter one. Only one division of a prefix has tokens
-        # that all may follow the ones before, so a position left this way is never tried again, and reaching
-        # the end proves the division. After many such steps all configurations are followed at once.
-        path: list[int] = []
-        held: list[tuple[int, list[tuple[int, int]]]] = []
-        dead: set[int] = set()
-        last, i, n = -1, 0, len(piece)
-        pairs = self.pairs.young
-        ends = self._ends(piece, 0)
-        while True:
-            while ends:
-                token, end = ends.pop()
-                if end in dead:
-                    continue
-                known = pairs.get(last << 32 | token)
-                if self.follows(last, token) if known is None else known:
-                    path.append(token)
-                    if end == n:
-                        return tuple(path)
-                    held.append((i, ends))
-                    last, i = token, end
-                    ends = self._ends(piece, end)
-                    break
-            else:
-                if not path or len(dead) == TAKEN_BACK:
-                    return self.all_configurations(piece)
-                dead.add(i)
-                path.pop()
-                i, ends = held.pop()
-                last = path[-1] if path else -1
-
-    def _ends(self, piece: bytes, start: int) -> list[tuple[int, int]]:
-        """Tokens that begin at ``start``, each with its end, shortest first."""
-        trie, token_at, node, out = self.trie, self.token_at, 0, []
-        for j in range(start, len(piece)):
-            node = trie[node].get(piece[j])
-            if node is None:
-                break
-            if node in token_at:
-                out.append((token_at[node], j + 1))
-        return out
-
-    def all_configurations(self, piece: bytes) -> tuple[int, ...]:
+        """Ids of a piece, each byte a move of the machine."""
         if len(self.states) > STATES:
             self._reset()
-        out: tuple[int, ...] = ()
+        out: list[int] = []
+        passed: list[dict] = []
         state = self.start
-        for byte in piece:
-            move = state.get(byte)
-            if move is None:
-                move = self._step(state, byte)
-            settled, state = move
-            if settled:
-                out += settled
-        for path, node in state[-1][1]:
-            if not node:
-                return out + path
-        raise ValueError("the vocabulary lacks a byte")
-
-    def _step(self, state: dict, byte: int) -> tuple[tuple[int, ...], dict]:
+        for at in range(0, len(piece), STRETCH):
+            for byte in piece[at : at + STRETCH] if len(piece) > STRETCH else piece:
+                state = state.get(byte) or self._move(state, byte)
+                passed.append(state)
+            if at + STRETCH < len(piece):
+                self._emit(passed, self._settled(passed), out)
+        self._emit(passed, len(passed), out)
+        if len(out) > 1 and piece in self.ranks:
+            return (self.ranks[piece],)  # a token that merges don't reach stands for itself alone
+        return tuple(out)
+
+    def _move(self, state: dict, byte: int) -> dict:
         """Makes the move of a state by a byte."""
-        last, configs = state[-1]
-        moved = []
-        pairs = self.pairs.young
-        for path, node in configs:
-            node = self.trie[node].get(byte)
-            if node is None:
+        self.made += 1
+        held, trie, pairs = state[-1], self.trie, self.pairs
+        moved, closes = [], -1
+        for k in range(0, len(held), 2):
+            hop = trie.get(held[k + 1] << 8 | byte)
+            if hop is None:
                 continue
-            if self.trie[node]:
-                moved.append((path, node))
-            token = self.token_at.get(node)
-            if token is not None:
-                before = path[-1] if path else last
+            node, token, deeper = hop
+            before = held[k]
+            if deeper:
+                moved += before, node
+            if token >= 0 > closes:
                 known = pairs.get(before << 32 | token)
-                if self.follows(before, token) if known is None else known:
-                    moved.append(((*path, token), 0))
-        shared = 0
-        if len(moved) == 1:
-            shared = len(moved[0][0])
-        elif moved:
-            for x, y in zip(min(moved)[0], max(moved)[0], strict=False):
-                if x != y:
-                    break
-                shared += 1
-        settled: tuple[int, ...] = ()
-        if shared:
-            settled = moved[0][0][:shared]
-            last = settled[-1]
-            moved = [(path[shared:], node) for path, node in moved]
-        key = (last, tuple(moved))
+                if known is None:
+                    if len(pairs) >= PAIRS:
+                        pairs.clear()
+                    known = pairs[before << 32 | token] = self.follows(before, token)
+                if known:
+                    closes = token
+        if closes >= 0:
+            moved += closes, 0
+        if not moved:
+            raise ValueError("the vocabulary lacks a byte")
+        key = tuple(moved)
         target = self.states.get(key)
         if target is None:
-            target = self.states[key] = {-1: key}
-        state[byte] = (settled, target)
-        return state[byte]
+            target = self.states[key] = {-1: key, -2: closes}
+        state[byte] = target
+        return target
+
+    def _settled(self, passed: list[dict]) -> int:
+        """The last place that the divisions before all open tokens have in common."""
+        places = {len(passed) - self.depth[node] for node in passed[-1][-1][1::2]}
+        while len(places) > 1:
+            last = max(places)
+            places.remove(last)
+            places.add(last - self.length[passed[last - 1][-2]])
+        return max(places.pop(), 0)
+
+    def _emit(self, passed: list[dict], upto: int, out: list[int]) -> None:
+        """Adds the tokens up to a place to ``out`` and forgets the states passed there."""
+        at, size, back = upto, self.length, []
+        while at:
+            token = passed[at - 1][-2]
+            if token < 0:
+                raise ValueError("the vocabulary lacks a byte")
+            back.append(token)
+            at -= size[token]
+        out += back[::-1]
+        del passed[:upto]
+
+
+def _utf8_table() -> list[int]:
+    """By state << 8 | byte the next state of a UTF-8 reader: 0 between characters, -1 an error; 1 to 3: so many
+    continuation bytes to come; 4 to 7 behind the leads E0, ED, F0 and F4, whose next byte has a narrower range."""
+    table = [-1] * 2048
+    spans = [(0, 0x00, 0x7F, 0), (0, 0xC2, 0xDF, 1), (0, 0xE1, 0xEC, 2), (0, 0xEE, 0xEF, 2), (0, 0xF1, 0xF3, 3), (0, 0xE0, 0xE0, 4), (0, 0xED, 0xED, 5), (0, 0xF0, 0xF0, 6), (0, 0xF4, 0xF4, 7)]
+    spans += [(1, 0x80, 0xBF, 0), (2, 0x80, 0xBF, 1), (3, 0x80, 0xBF, 2), (4, 0xA0, 0xBF, 1), (5, 0x80, 0x9F, 1), (6, 0x90, 0xBF, 2), (7, 0x80, 0x8F, 2)]
+    for state, low, high, after in spans:
+        for byte in range(low, high + 1):
+            table[state << 8 | byte] = after
+    return table
+
+
+_UTF8 = _utf8_table()
 
 
 class Utf8Decoder:
-    """Bytes in, characters out: a state machine over lead and continuation bytes keeps what is open."""
+    """Bytes in, characters out: a state machine over lead and continuation bytes keeps what is open.
+
+    A sequence that goes on wrongly gives one replacement character for the part that was right so far, and the
+    byte begins anew."""
 
     def __init__(self) -> None:
-        self.open = b""
+        self.state, self.open = 0, b""
 
     def feed(self, data: bytes) -> str:
-        data = self.open + data
-        cut = len(data)
-        for back in range(1, min(3, len(data)) + 1):
-            b = data[-back]
-            if b & 0xC0 == 0x80:
-                continue
-            need = 2 if b >> 5 == 6 else 3 if b >> 4 == 14 else 4 if b >> 3 == 30 else 1
-            cut = len(data) - back if need > back else cut
-            break
-        self.open = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+        if not self.state and data.isascii():
+            return data.decode("ascii")
+        out, held, state, table = [], bytearray(self.open), self.state, _UTF8
+        for byte in data:
+            after = table[state << 8 | byte]
+            if after < 0 and state:
+                out.append("\ufffd")
+                held.clear()
+                after = table[byte]
+            held.append(byte)
+            if after < 0:
+                out.append("\ufffd")
+                held.clear()
+                after = 0
+            elif not after:
+                out.append(held.decode("utf-8"))
+                held.clear()
+            state = after
+        self.state, self.open = state, bytes(held)
+        return "".join(out)
 
     def close(self) -> str:
-        rest, self.open = self.open, b""
-        return rest.decode("utf-8", "replace")
+        rest, self.state, self.open = self.open, 0, b""
+        return "\ufffd" if rest else ""
 
 
 class Tokenizer:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.machine = Transducer(ranks)
         self.find = regex.compile(pattern).findall
-        self.runs, self.pieces = Memo(), Memo()
+        self.words, self.pieces = Memo(), Memo()
         self.bytes_of = self.machine.bytes_of
+        #: What a token gives a decoder between characters, and whether it leaves it there.
+        self.texts: dict[int, tuple[str, bool]] = {}
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         ids = self.pieces.get(piece)
@@ -279,28 +276,61 @@ class Tokenizer:
 
     def _run(self, run: str) -> tuple[int, ...]:
         """Ids of a run of text that no match crosses the ends of."""
-        ids = self.runs.old.get(run)
+        return tuple(i for m in self.find(run) for i in self._piece(m))
+
+    def _word(self, word: str) -> tuple[int, ...] | None:
+        """Ids of a space and a word behind it; None where a word is empty or has white space at an end."""
+        ids = self.words.get(word)
         if ids is None:
-            ids = tuple(i for m in self.find(run) for i in self._piece(m))
-        if len(run) <= 64:
-            self.runs.put(run, ids)
+            if not word or word[0].isspace() or word[-1].isspace():
+                return None
+            ids = self._run(" " + word)
+            if len(word) <= 64:
+                self.words.put(word, ids)
         return ids
 
     def encode(self, text: str) -> list[int]:
         """A match never crosses a lone space between two other characters that aren't white space: each
         alternative takes a space only as its first character or in a run of white space. So a text falls
         into runs there, and equal runs have equal ids."""
+        words = text.split(" ")
+        if len(words) > 1 and (not words[0] or words[0][-1].isspace()):
+            return self._by_runs(text)
+        out = list(self._run(words[0]))
+        for word in words[1:]:
+            ids = self.words.young.get(word)
+            if ids is None:
+                ids = self._word(word)
+                if ids is None:
+                    return self._by_runs(text)
+            out += ids
+        return out
+
+    def _by_runs(self, text: str) -> list[int]:
         out: list[int] = []
         for run in BETWEEN(text):
-            ids = self.runs.young.get(run)
+            ids = self._word(run[1:]) if run[:1] == " " else None
             out += self._run(run) if ids is None else ids
         return out
 
-    def decode(self, ids: list[int], piece: int = 4096):
-        """Text in pieces, from ids in pieces."""
-        stream, of = Utf8Decoder(), self.bytes_of
-        for i in range(0, len(ids), piece):
-            yield stream.feed(b"".join([of[x] for x in ids[i : i + piece]]))
+    def decode(self, ids: list[int]):
+        """Text in pieces, from ids in turn."""
+        stream, of, known = Utf8Decoder(), self.bytes_of, self.texts
+        whole = True
+        for i in ids:
+            if whole:
+                got = known.get(i)
+                if got is None:
+                    text = stream.feed(of[i])
+                    got = known[i] = (text, not stream.state)
+                    whole = got[1]
+                elif not got[1]:
+                    stream.feed(of[i])
+                    whole = False
+                yield got[0]
+            else:
+                yield stream.feed(of[i])
+                whole = not stream.state
         yield stream.close()
 
 
@@ -339,26 +369,25 @@ def decode_ids(rows: DataFrame, keep: list[str], ranks: dict[bytes, int], ids: s
 
 
 def bpe_digests(docs: DataFrame, keep: list[str], ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
-    """``keep`` with n_tokens, ids_sha256 and decoded_sha256, without storing the ids."""
+    """``keep`` with n_tokens, ids_sha256, decoded_sha256 and n_chars (characters that the streaming decoder
+    gives), without storing the ids. Null texts are empty."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def make():
         own = tokenizer(shared.value, pattern)
-        names = {i: str(i) for i in own.bytes_of}
+        names, of = {i: str(i) for i in own.bytes_of}, own.bytes_of
 
         def run(texts):
             rows = []
             for t in texts:
                 ids = own.encode(t or "")
-                digest = hashlib.sha256()
-                for some in own.decode(ids):
-                    digest.update(some.encode("utf-8", "surrogatepass"))
-                rows.append((len(ids), hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest(), digest.hexdigest()))
+                decoded = hashlib.sha256(b"".join([of[i] for i in ids])).hexdigest()
+                rows.append((len(ids), hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest(), decoded, sum(map(len, own.decode(ids)))))
             return list(zip(*rows, strict=True))
 
         return run
 
-    return map_texts(docs, keep, text, "n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    return map_texts(docs, keep, text, "n_tokens long, ids_sha256 string, decoded_sha256 string, n_chars long", make)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
