@@ -1,72 +1,131 @@
 """Toxicity: a subword bag with a linear softmax.
 
-A word is its whole form and its character n-grams, each hashed to a row of one embedding table; a
-text is the mean of its words' mean vectors, and a linear softmax over that vector gives the score.
-Embeddings and softmax are trained together in numpy, so a misspelt or unseen form is scored by the
-n-grams that it shares with known ones.
+A word's subwords are its character n-grams, with its ends marked, and its whole form, each hashed to a row of
+one embedding table; a text is the mean of its words' mean vectors, and a linear softmax over that vector
+gives the score. Embeddings and softmax are trained together in numpy, so a misspelt or unseen form is scored
+by the n-grams that it shares with known ones. Many texts are hashed at once, as arrays of characters.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Memo
 from .common import map_texts, table
 
-BUCKETS, NGRAMS, LONGEST = 1 << 18, (3, 4, 5, 6), 64
-#: The bounds of training: rows of label 1 (three times as many of label 0, whose texts vary more),
-#: features, vector length, rounds, and standard errors that a feature must differ by.
-SAMPLE, FEATURES, DIM, ROUNDS, LEAST_Z = 1200, 4096, 8, 60, 6.0
+#: Rows of the table, lengths of n-grams, characters of a word that count as one, and characters hashed at once.
+BUCKETS, NGRAMS, STRETCH, CHUNK = 1 << 18, (3, 4, 5, 6), 64, 1 << 19
+#: The bounds of training: rows of label 1 (three times as many of label 0, whose texts vary more), bytes of
+#: their texts for each label; vector length, rounds, texts of a step, rates, and the standard errors at which
+#: a row's evidence is at a quarter.
+SAMPLE, SAMPLE_BYTES, DIM, ROUNDS, BATCH, RATE_E, RATE_W, SURE = 1200, 24 << 20, 4, 6, 480, 2.0, 0.3, 10.0
 THRESHOLD = 0.7
-LR_E, LR_W = 2.0, 0.3
+_PUNCTUATION = ".,;:!?\"'()[]{}<>*#&%$-_/\\|"
+#: By character, up to the last white one: 0, or 1 for white space, 2 for punctuation.
+_KIND = np.array([1 if chr(i).isspace() else 2 if chr(i) in _PUNCTUATION else 0 for i in range(0x3002)], np.uint8)
+
+
+def _odd_numbers(n: int) -> np.ndarray:
+    x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
-def words(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+_BY_PLACE, _LAST = _odd_numbers(max(NGRAMS) + 2), np.uint32(0x9E3779B1)
 
 
-def stretches(word: str) -> list[list[int]]:
-    """Rows of the table for a word with its outer punctuation stripped; none for punctuation alone.
+def _row(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint32(15))) * _LAST
+    return (h >> np.uint32(32 - BUCKETS.bit_length() + 1)).astype(np.int32)
 
-    A word of more than LONGEST characters, as in scripts without spaces, is read whole in stretches that
-    share so many characters that each n-gram lies in one; each counts as a word."""
-    core = word.strip(".,;:!?\"'()[]{}<>*#&%$-_/\\|")
-    if not core:
-        return []
-    form = f"<{core}>"
-    if not form.isascii():
-        form = form.encode("utf-8", "surrogatepass").decode("utf-8", "replace")
-    size, shared = LONGEST + 2, max(NGRAMS) - 1
-    if len(form) <= size:
-        return [subwords(form)]
-    return [subwords(form[i : i + size]) for i in range(0, len(form) - shared, size - shared)]
 
+def pieces(text: str) -> list[str]:
+    """A text in pieces of up to CHUNK characters, cut at white space; where a word is longer, pieces share as
+    many characters as keep each n-gram whole in one of them."""
+    out, at = [], 0
+    while len(text) - at > CHUNK:
+        piece = text[at : at + CHUNK]
+        head = piece.rsplit(None, 1)[0] if not piece[-1].isspace() else piece
+        if 0 < len(head) < len(piece) or head is piece:
+            out.append(head)
+            at += len(head)
+        else:
+            out.append(piece)
+            at += CHUNK - max(NGRAMS) + 1
+    return [*out, text[at:]]
 
-def subwords(form: str) -> list[int]:
-    if form.isascii():
-        raw = form.encode()
-        return [zlib.crc32(g) % BUCKETS for g in {raw, *[raw[i : i + n] for n in NGRAMS for i in range(len(raw) - n + 1)]}]
-    grams = {form, *(form[i : i + n] for n in NGRAMS for i in range(len(form) - n + 1))}
-    return [zlib.crc32(g.encode()) % BUCKETS for g in grams]
+
+class Grams:
+    """The subwords of pieces of lower-cased text.
+
+    ``starts``: where units begin, a unit being a word, or each STRETCH characters of a longer one; ``owner``:
+    the number of a unit's piece; ``each()``: for whole forms and each length of n-gram, their places (within
+    their unit's stretch of places) and rows. Words are runs without white space, their outer punctuation
+    stripped; punctuation alone is no word. An n-gram that spans two units belongs to the first.
+    """
+
+    def __init__(self, texts: list[str]):
+        codes = np.frombuffer("".join([*(" " + t for t in texts), " "]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = _KIND[np.minimum(codes, len(_KIND) - 1)]
+        place = np.arange(len(codes), dtype=np.int32)
+        core, white = kind == 0, kind == 1
+        inside = _last(place, core) > _last(place, white)
+        inside &= _next(place, core) < _next(place, white)
+        kept = inside & ~white
+        self.size = len(codes)
+        self.symbols = np.append(np.where(kept, codes, np.uint32(0)), np.zeros(max(NGRAMS), np.uint32))
+        self.ahead = _next(place, ~kept) - place  # characters of the word from here on
+        begins = np.flatnonzero(~kept[:-1] & kept[1:]).astype(np.int32)
+        into = place - _last(place, ~kept) - 1
+        self.words, self.into = begins, into
+        self.starts = np.sort(np.append(begins, np.flatnonzero(kept & (into > 0) & (into % STRETCH == 0)).astype(np.int32)))
+        sizes = np.array([len(t) + 1 for t in texts])
+        self.owner = np.searchsorted(np.cumsum(sizes), self.starts, side="right")
+
+    def each(self):
+        s = self.symbols + np.uint32(1)
+        if len(self.words):
+            h = (s[: self.size] + self.into.astype(np.uint32) * _BY_PLACE[-1]) * _BY_PLACE[-2]
+            h = np.where(self.symbols[: self.size] > 0, (h ^ (h >> np.uint32(13))) * _LAST, np.uint32(0))
+            yield self.words, _row(np.add.reduceat(h, self.words, dtype=np.uint32))
+        ahead = np.append(self.ahead[1:], 0)
+        at = np.flatnonzero(ahead > 0).astype(np.int32)
+        h, done = np.zeros(len(at), np.uint32), 0
+        for n in NGRAMS:
+            long = ahead[at] >= n - 2
+            if not long.all():
+                at, h = at[long], h[long]
+            for j in range(done, n):
+                h = h + s[at + j] * _BY_PLACE[j]
+            done = n
+            yield at, _row(h)
+
+
+def _last(place: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """The last of these places up to each; -1 for none."""
+    return np.maximum.accumulate(np.where(where, place, np.int32(-1)))
+
+
+def _next(place: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """The next of these places from each on; one past the end for none."""
+    return np.minimum.accumulate(np.where(where, place, np.int32(len(place)))[::-1])[::-1]
 
 
 def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """A text's rows and its share of each: the mean over words of the mean over their subwords."""
-    counts = Counter(words(text))
-    out: dict[int, float] = {}
-    total = 0
-    for word, n in counts.items():
-        for rows in stretches(word):
-            total += n
-            for r in rows:
-                out[r] = out.get(r, 0.0) + n / len(rows)
-    rows = np.fromiter(out, np.int32, len(out))
-    return rows, np.fromiter(out.values(), np.float32, len(out)) / np.float32(max(total, 1))
+    """A text's rows and its share of each: the mean over units of the mean over their subwords."""
+    share, units = np.zeros(BUCKETS), 0
+    for piece in pieces((text or "").lower()):
+        g = Grams([piece])
+        if not len(g.starts):
+            continue
+        found = [(np.searchsorted(g.starts, at, side="right") - 1, rows) for at, rows in g.each()]
+        unit, rows = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        count = np.bincount(unit)
+        share += np.bincount(rows, 1 / count[unit], minlength=BUCKETS)
+        units += np.count_nonzero(count)
+    rows = np.flatnonzero(share).astype(np.int32)
+    return rows, (share[rows] / max(units, 1)).astype(np.float32)
 
 
 class Model:
@@ -75,114 +134,129 @@ class Model:
 
     def margins(self) -> tuple[np.ndarray, float]:
         """What each row adds to the log odds of label 1, and their base."""
-        return (self.vectors @ (self.softmax[:, 1] - self.softmax[:, 0])).astype(np.float64), float(self.bias[1] - self.bias[0])
+        return (self.vectors @ (self.softmax[:, 1] - self.softmax[:, 0])).astype(np.float32), float(self.bias[1] - self.bias[0])
 
 
-def telling(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> np.ndarray:
-    """Rows whose share of the texts differs between the labels: twofold at least and by LEAST_Z standard
-    errors. Others would add noise alone. Where none differs so much, as in a few texts, all rows."""
+def evidence(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> np.ndarray:
+    """From 0 to 1 for each row: how surely and how far the share of the texts that hold it differs between the
+    labels, by standard errors and by lift. It is small, yet above 0, where the difference may be chance."""
     n = np.array([(y == 0).sum(), (y == 1).sum()])
-    seen = np.zeros((2, BUCKETS), np.int64)
-    for (own, _), c in zip(bags, y, strict=True):
-        seen[c, own] += 1
-    rows = np.flatnonzero(seen.sum(0))
-    share = seen[:, rows] / n[:, None]
-    both = (share * n[:, None]).sum(0) / n.sum()
-    z = np.abs(share[1] - share[0]) / np.sqrt(both * (1 - both) * (1 / n).sum() + 1e-12)
-    lift = (share[1] + 1 / n[1]) / (share[0] + 1 / n[0])
-    fit = (z >= LEAST_Z) & ((lift >= 2) | (lift <= 0.5))
-    order = np.argsort(-z, kind="stable")
-    best = rows[order[fit[order]]][:FEATURES]
-    return best if len(best) else rows[order][:FEATURES]
+    seen = np.zeros((2, BUCKETS))
+    for (rows, _), c in zip(bags, y, strict=True):
+        seen[c, rows] += 1
+    share, both = seen / n[:, None], seen.sum(0) / n.sum()
+    z = (share[1] - share[0]) ** 2 / (both * (1 - both) * (1 / n).sum() + 1e-12)
+    lift = np.abs(np.log2((share[1] + 1 / n[1]) / (share[0] + 1 / n[0])))
+    return (z / (z + SURE**2)) ** 2 * np.minimum(lift, 1) ** 2
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: int = 7) -> Model:
-    """Full-batch gradient descent with momentum on the mean cross entropy, each class weighing the same.
+    """Gradient descent with momentum, in steps of BATCH texts, on the mean cross entropy, each class weighing the
+    same.
 
-    Only telling rows get a vector. Columns are divided by their root mean square, so rare rows learn as
-    fast as common ones. Without rows of both classes the model gives the one class's label, or 0 without
-    any.
+    Each row that the texts hold gets a vector; those of other rows stay zero, so unknown subwords count for
+    nothing. Columns are divided by their root mean square, so rare rows learn as fast as common ones, and
+    each learns at the rate of its evidence, so thousands of rows of chance don't outweigh the few that tell.
+    Without rows of both classes the model gives the one class's label, or 0 without any.
     """
-    vectors = np.zeros((BUCKETS, DIM), np.float32)
+    random = np.random.default_rng(seed)
+    w, bias = random.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     y = np.array(labels, np.int64)
     if len(set(labels)) < 2:
-        return Model(vectors, np.zeros((DIM, 2)), np.array([0.0, 6.0 if 1 in labels else -6.0]))
-    chosen = telling(bags, y)
-    column = np.full(BUCKETS, -1)
-    column[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(bags), len(chosen)), np.float32)
-    for i, (own, share) in enumerate(bags):
-        at = column[own]
-        x[i, at[at >= 0]] = share[at >= 0]
-    scale = 1 / np.sqrt((x * x).mean(0) + 1e-12)
-    x *= scale
-    x /= np.sqrt(len(chosen))
-    random = np.random.default_rng(seed)
-    e = random.normal(0, 0.1, (len(chosen), DIM)).astype(np.float32)
-    w = random.normal(0, 0.3, (DIM, 2)).astype(np.float32)
-    bias = np.zeros(2, np.float32)
-    weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()).astype(np.float32)
+        return Model(np.zeros((BUCKETS, DIM), np.float32), w, np.array([0.0, 6.0 if 1 in labels else -6.0]))
+    square = np.zeros(BUCKETS)
+    for rows, share in bags:
+        square[rows] += np.square(share, dtype=np.float64)
+    rate = evidence(bags, y)
+    scale = (rate / np.sqrt(square / len(y) + 1e-12) / np.sqrt(np.square(rate).sum() + 1e-12)).astype(np.float32)
+    vectors = np.zeros((BUCKETS, DIM), np.float32)
+    weight = np.where(y == 1, len(y) / 2 / (y == 1).sum(), len(y) / 2 / (y == 0).sum()).astype(np.float32)
     target = np.eye(2, dtype=np.float32)[y]
-    moved = [np.zeros_like(p) for p in (e, w, bias)]
-    for turn in range(ROUNDS):
-        hidden = x @ e
-        z = hidden @ w + bias
-        z -= z.max(1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(1, keepdims=True)
-        error = (p - target) * weight[:, None]
-        steps = (x.T @ (error @ w.T), hidden.T @ error, error.sum(0))
-        for param, m, g, rate in zip((e, w, bias), moved, steps, (LR_E, LR_W, LR_W), strict=True):
-            m *= 0.9
-            m -= rate * g
-            param += m
-    vectors[chosen] = e * (scale / np.sqrt(len(chosen)))[:, None]
-    return Model(vectors, w, bias)
+    steps = []
+    order = random.permutation(len(y))
+    for a in range(0, len(order), BATCH):
+        batch = order[a : a + BATCH]
+        rows = np.concatenate([bags[i][0] for i in batch])
+        known, own = np.unique(rows, return_inverse=True)
+        text = np.repeat(np.arange(len(batch), dtype=np.int32), [len(bags[i][0]) for i in batch])
+        amount = np.concatenate([bags[i][1] for i in batch]) * scale[rows]
+        steps.append((batch, known, own.astype(np.int32), text, amount))
+    moved, moved_w, moved_bias = np.zeros_like(vectors), np.zeros_like(w), np.zeros_like(bias)
+    for _ in range(ROUNDS):
+        for batch, known, own, text, amount in steps:
+            held = vectors[known]
+            hidden = np.stack([np.bincount(text, amount * held[own, d], minlength=len(batch)) for d in range(DIM)], axis=1)
+            z = hidden @ w + bias
+            p = np.exp(z - z.max(1, keepdims=True))
+            error = (p / p.sum(1, keepdims=True) - target[batch]) * weight[batch, None] / len(batch)
+            back = error @ w.T
+            for m, g in ((moved_w, hidden.T @ error), (moved_bias, error.sum(0))):
+                m *= 0.9
+                m -= RATE_W * g
+            moved *= 0.9
+            for d in range(DIM):
+                moved[known, d] -= RATE_E * np.bincount(own, amount * back[text, d], minlength=len(known))
+            vectors += moved
+            w += moved_w
+            bias += moved_bias
+    return Model(vectors * scale[:, None], w, bias)
 
 
 class Scorer:
     def __init__(self, margins: np.ndarray, base: float):
-        # Few rows have a vector at all.
-        self.margins = {int(r): float(margins[r]) for r in np.flatnonzero(margins)}
-        self.base, self.held = base, Memo(100_000)
-
-    def _word(self, word: str) -> tuple[float, int]:
-        known = self.held.get(word)
-        if known is None:
-            parts = stretches(word)
-            known = (sum(sum([self.margins.get(r, 0.0) for r in rows]) / len(rows) for rows in parts), len(parts))
-            if len(word) <= LONGEST:
-                self.held.put(word, known)
-        return known
+        self.margins, self.base = margins, base
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        total, units = np.zeros(len(texts)), np.zeros(len(texts))
+        held, owner, size = [], [], 0
+        for i, text in enumerate(texts):
+            for piece in pieces((text or "").lower()):
+                if size + len(piece) > CHUNK and held:
+                    self._add(held, owner, total, units)
+                    held, owner, size = [], [], 0
+                held.append(piece)
+                owner.append(i)
+                size += len(piece)
+        if held:
+            self._add(held, owner, total, units)
+        odds = np.clip(self.base + total / np.maximum(units, 1), -30, 30)
+        return (1 / (1 + np.exp(-odds))).tolist()
 
     def score(self, text: str | None) -> float:
-        total, n = 0.0, 0
-        young = self.held.young
-        for word in words(text):
-            known = young.get(word)
-            if known is None:
-                known = self._word(word)
-                young = self.held.young
-            total += known[0]
-            n += known[1]
-        return float(1 / (1 + np.exp(-np.clip(self.base + (total / n if n else 0.0), -30, 30))))
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` rows of label 1 and 3 * sample of label 0 (those of the least
-    hashes of doc_id), whole texts.
+        return self.scores([text])[0]
+
+    def _add(self, held: list[str], owner: list[int], total: np.ndarray, units: np.ndarray) -> None:
+        g = Grams(held)
+        if not len(g.starts):
+            return
+        amount, count = np.zeros(g.size), np.zeros(g.size, np.int32)
+        for at, rows in g.each():
+            amount[at] += self.margins[rows]
+            count[at] += 1
+        amount, count = np.add.reduceat(amount, g.starts), np.add.reduceat(count, g.starts)
+        some = count > 0  # the last character of a word begins no n-gram: a stretch of it alone is no unit
+        mean, whose = amount[some] / count[some], np.array(owner)[g.owner[some]]
+        total += np.bincount(whose, mean, minlength=len(total))
+        units += np.bincount(whose, minlength=len(units))
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model from at most ``sample`` rows of label 1 and 3 * sample of label 0, whole texts, those of the least
+    hashes of id and text that hold ``sample_bytes`` for each label together at most.
 
     ``docs``: doc_id, text; ``labels``: doc_id, toxic. Rows whose crc32(doc_id as text) mod 3 is 1 are
-    never read, nor rows with a null id or a label other than 0 and 1. Only the chosen rows' texts reach
-    the driver, and only one partition's at a time.
+    never read, nor rows with a null id or a label other than 0 and 1; an id with both labels counts for both.
+    The sample alone reaches the driver, so its bytes are bounded whatever the table and its texts.
     """
     usable = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic in (0, 1)").filter(~held_out("doc_id")).distinct()
-    chosen = [
-        usable.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in ((0, 3 * sample), (1, sample))
-    ]
+    few = [usable.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in ((0, 3 * sample), (1, sample))]
     # At most 4 * sample ids: safe to send to all executors.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
-    got = sorted((int(r["doc_id"]), int(r["toxic"]), r["text"] or "") for r in rows.collect())
+    rows = docs.select("doc_id", "text").join(F.broadcast(few[0].union(few[1])), "doc_id").withColumn("_h", F.xxhash64("doc_id", "text"))
+    # An id may repeat in docs: the bounds hold for rows, too. What is ranked is at most the rows of 4 * sample ids.
+    best = [rows.filter(F.col("toxic") == c).orderBy("_h", "doc_id").limit(n) for c, n in ((0, 3 * sample), (1, sample))]
+    upto = Window.partitionBy("toxic").orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = best[0].union(best[1]).withColumn("_b", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(upto)).filter(F.col("_b") <= sample_bytes)
+    got = sorted((int(r["doc_id"]), int(r["toxic"]), r["text"] or "") for r in chosen.select("doc_id", "toxic", "text").collect())
     return train([bag(t) for _, _, t in got], [c for _, c, _ in got])
 
 
@@ -191,15 +265,15 @@ def held_out(doc_id: str):
 
 
 def score_toxicity(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` with score (0 to 1). Null, empty and wordless texts get the score of the model's base.
-    A name ``score`` in ``keep`` is not allowed."""
+    """``keep`` with score (0 to 1). Null, empty and wordless texts get the score of the model's base. A column
+    ``score`` in ``keep`` is replaced. An empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(model.margins())  # BUCKETS numbers: fixed size
 
     def make():
         scorer = Scorer(*shared.value)
-        return lambda texts: ([scorer.score(t) for t in texts],)
+        return lambda texts: (scorer.scores(texts),)
 
-    return map_texts(docs, keep, text, "score double", make)
+    return map_texts(docs, [c for c in keep if c != "score"], text, "score double", make)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

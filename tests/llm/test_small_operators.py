@@ -1,9 +1,8 @@
 import random
-import zlib
 
 import numpy as np
 
-from lockstep.llm import ann, chat, substring_dedup, toxicity, url_filter
+from lockstep.llm import ann, chat, substring_dedup, url_filter
 
 
 def test_urls(spark):
@@ -88,23 +87,6 @@ def test_chunks_resist_insertions():
             start = e
 
 
-def test_toxicity_learns_stems(spark):
-    r = random.Random(4)
-    good = [" ".join(words(r, 40)) for _ in range(200)]
-    bad = [" ".join([*words(r, 38), r.choice(["blarg", "zuffle"]) + r.choice(["s", "ed", "er"]), "blargs"]) for _ in range(200)]
-    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*good, *bad])] + [(900, None, "x"), (901, "", "x"), (902, "!!! ...", "x"), (None, "blarg", "x")], "doc_id long, text string, label string")
-    labels = spark.createDataFrame([(i, int(i >= 200), 1) for i in range(400)] + [(None, 1, 1), (900, None, 1), (5, 7, 1)], "doc_id long, toxic int, quality int")
-    model = toxicity.fit(docs, labels)
-    got = {x.doc_id: x.score for x in toxicity.score_toxicity(docs, model, ["doc_id"]).collect()}
-    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 == 1]
-    assert np.mean([(got[i] >= 0.5) == (i >= 200) for i in held]) > 0.95
-    assert got[900] == got[901] == got[902] < 0.5
-    seen = toxicity.Scorer(*model.margins())
-    assert seen.score(good[0] + " blarging") > seen.score(good[0] + " walking")
-    assert toxicity.score_toxicity(docs.limit(0), model, ["doc_id"]).collect() == []
-    assert toxicity.fit(docs, labels.limit(0)).margins()[1] < 0
-
-
 def test_nearest_vectors(spark):
     r = np.random.default_rng(5)
     x = np.concatenate([r.normal(0, 1, (600, 10)), np.tile(r.normal(0, 1, (1, 10)), (50, 1))])
@@ -157,17 +139,3 @@ def test_passages_without_spaces_are_cut(spark):
 
 def test_passages_that_meet_are_one_cut():
     assert substring_dedup.runs([*((i, 1) for i in range(20)), *((i, 2) for i in range(35, 55)), *((i, 1) for i in range(80, 94))], 16, 30) == [(0, 70, [1, 2])]
-
-
-def test_toxicity_reads_long_words_whole():
-    r = random.Random(7)
-    joined = lambda n: "_".join(words(r, n))
-    bad = [f"{joined(40)}_blarg_{joined(r.randrange(40))}" for _ in range(100)]
-    good = [f"{joined(40)}_walks_{joined(r.randrange(40))}" for _ in range(100)]
-    model = toxicity.train([toxicity.bag(t) for t in good[:60] + bad[:60]], [0] * 60 + [1] * 60)
-    scorer = toxicity.Scorer(*model.margins())
-    assert np.mean([scorer.score(t) < 0.5 for t in good[60:]] + [scorer.score(t) >= 0.5 for t in bad[60:]]) > 0.95
-    for n in (63, 64, 65, 66, 67, 125, 126, 127, 500):
-        word = "".join(r.choice("abcdefgh") for _ in range(n))
-        rows = {x for part in toxicity.stretches(word) for x in part}
-        assert all(zlib.crc32(f"<{word}>"[i : i + m].encode()) % toxicity.BUCKETS in rows for m in toxicity.NGRAMS for i in range(n + 3 - m))
