@@ -2,21 +2,18 @@
 
 1. Sets. A text's words make its set of k-word shingles, as 64-bit hashes. Texts of equal sets are one
    node from here on; the join is between different sets.
-2. Candidates by partial equality. Sets of similarity t differ in at most d = (1-t)/(1+t) * (a+b)
-   shingles. The hash range is cut into K > d parts, so a linked pair agrees wholly on some part. A
-   node's signatures are the digests of its parts, K following from its size range. Up to PARTS parts
-   are used; where d asks for more, the parts are a random sample and a pair of similarity t escapes
-   with a chance of under 1e-12, less than what 64-bit hashes give away. A passage or word that many
-   texts share makes no group: a whole part must agree.
-3. Stars. In each group of equal signatures every node is compared with the group's first one only;
-   verified links and their components are found from these.
-4. Signature trees. Groups that still hold several components are searched in full: a tree over their
-   members, ordered by size, holds OR-combined bitmaps of shingles and size ranges; a dual traversal
-   drops pairs of tree nodes whose greatest possible overlap is too small or whose members are all in one
-   component already, and what is left is verified exactly, likely pairs first, until all that links is
-   joined. Groups are cut into blocks: first each block is searched, then pairs of blocks whose members
-   are still in several components.
-5. Components by repeated min-label contraction; copies get their node's component.
+2. Clusters. Sets of similarity t differ in at most d = (1-t)/(1+t) * (a+b) shingles. The hash range is cut
+   into K > d parts, so a linked pair agrees wholly on some part. A node's signatures are the digests of
+   its parts, K following from its size range; nodes that share one, directly or over others, are a
+   cluster. A passage or word that many texts share makes none: a whole part must agree. Each node is in one
+   cluster at most, so its set is shipped once.
+3. Signature trees. Each cluster is joined by a tree over its members, ordered by size, that holds OR-combined
+   bitmaps of shingles and size ranges: a dual traversal drops pairs of tree nodes whose greatest possible
+   overlap is too small, and what is left is verified exactly, likely pairs first, until all that links is
+   joined. A cluster of more than a block's members or shingles is cut into blocks by size: trees inside each
+   block first, then of neighbouring blocks; if it is still in several components, block summaries (the
+   trees' roots) are traversed and the members of the pairs that survive are searched.
+4. Components by repeated min-label contraction; copies get their node's component.
 """
 
 from __future__ import annotations
@@ -26,6 +23,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +32,8 @@ from .bpe import Memo
 from .common import map_texts, table, written
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Signatures of a node in a size range, growth of size ranges, bitmap words, members of a tree block.
-PARTS, RANGE, BITS, BLOCK = 72, 1.3, 16, 512
+#: Growth of size ranges, bitmap words, and what a block of a tree holds at most on average: members, shingles.
+RANGE, BITS, BLOCK, BLOCK_SHINGLES = 1.3, 16, 512, 1 << 20
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -93,10 +91,10 @@ def _range_of(n: int) -> int:
 
 
 @functools.cache
-def plan(r: int, t: tuple[int, int]) -> tuple[int, int, int, int]:
+def plan(r: int, t: tuple[int, int], parts: int | None = None) -> tuple[int, int, int, int]:
     """(d, parts, parts in use, empty parts allowed) of size range r: d is the most that linked sets of it
     differ in; the parts exceed d by one and by the empty parts allowed, so that some part agrees and is
-    not empty. Beyond PARTS parts a sample of them serves, of the size at which about a third agrees."""
+    not empty. Where that asks for more than ``parts``, so many of them serve as a sample."""
     p, q = t
     low, top = RANGE**r, math.ceil(RANGE ** (r + 1))
     total = top + top * q // p
@@ -106,12 +104,12 @@ def plan(r: int, t: tuple[int, int]) -> tuple[int, int, int, int]:
         empty = k * math.exp(-low / k)
         spare = math.ceil(empty + 4 * math.sqrt(empty))
         k = d + 1 + spare
-    if k <= PARTS:
+    if parts is None or k <= parts:
         return d, k, k, spare
-    return d, max(PARTS, math.ceil(top * (q - p) / q / 0.9)), PARTS, PARTS // 6
+    return d, max(parts, math.ceil(top * (q - p) / q / 0.9)), parts, parts // 6
 
 
-def signatures(hashes: np.ndarray, t: tuple[int, int]) -> np.ndarray:
+def signatures(hashes: np.ndarray, t: tuple[int, int], parts: int | None = None) -> np.ndarray:
     """A set's signatures: digests of its parts that aren't empty; of a small set, which may differ by two
     shingles at most, digests of the whole and of what one or two shingles less leave."""
     n = len(hashes)
@@ -120,8 +118,8 @@ def signatures(hashes: np.ndarray, t: tuple[int, int]) -> np.ndarray:
     mixed = mix(hashes ^ np.uint64(0x5851F42D4C957F2D))
     out = []
     for r in size_ranges(n, t):
-        d, k, used, spare = plan(r, t)
-        salt = np.uint64(2 * r + 1) * MIX[0]
+        d, k, used, spare = plan(r, t, parts)
+        salt = np.uint64((2 * r + 1) * int(MIX[0]) & (1 << 64) - 1)
         if d <= 2:
             whole = mixed.sum(dtype=np.uint64)
             less = [np.array([whole]), whole - mixed]
@@ -149,12 +147,13 @@ def bitmap(hashes: np.ndarray) -> list[int]:
     return words.view(np.int64).tolist()
 
 
-def profiles(docs: DataFrame, keep: list[str], k: int, t: tuple[int, int], text: str = "text") -> DataFrame:
+def profiles(docs: DataFrame, keep: list[str], k: int, t: tuple[int, int], text: str = "text", parts: int | None = None) -> DataFrame:
     """``keep`` with n_shingles, node (a digest of the set; null for an empty one), check (a second one),
-    and the set's signatures."""
+    and the set's signatures. Of rows of one node that a task meets the first alone has signatures, mostly:
+    many copies give few."""
 
     def make():
-        own = Shingler(k)
+        own, met = Shingler(k), Memo(50_000)
 
         def run(texts):
             rows = []
@@ -162,7 +161,9 @@ def profiles(docs: DataFrame, keep: list[str], k: int, t: tuple[int, int], text:
                 h = own.sets(text)
                 if len(h):
                     node, check = int(mix(h).sum(dtype=np.uint64)), int(mix(h + MIX[2]).sum(dtype=np.uint64))
-                    rows.append((len(h), _signed(node), _signed(check), signatures(h, t).view(np.int64).tolist()))
+                    again = met.get(node)
+                    met.put(node, True)
+                    rows.append((len(h), _signed(node), _signed(check), [] if again else signatures(h, t, parts).view(np.int64)))
                 else:
                     rows.append((0, None, None, []))
             return list(zip(*rows, strict=True))
@@ -177,25 +178,54 @@ def _signed(x: int) -> int:
 
 
 def shingle_sets(docs: DataFrame, keep: list[str], k: int, text: str = "text") -> DataFrame:
+    """``keep`` with the shingles and bitmap of the texts; of equal sets that a task meets the first alone is
+    there, mostly."""
+
     def make():
-        own = Shingler(k)
+        own, met = Shingler(k), Memo(50_000)
 
         def run(texts):
-            sets = [own.sets(x) for x in texts]
-            return [h.view(np.int64).tolist() for h in sets], [bitmap(h) for h in sets]
+            out = []
+            for x in texts:
+                h = own.sets(x)
+                node = int(mix(h).sum(dtype=np.uint64))
+                again = met.get(node)
+                met.put(node, True)
+                out.append((None, None) if again else (h.view(np.int64), bitmap(h)))
+            return list(zip(*out, strict=True))
 
         return run
 
-    return map_texts(docs, keep, text, "shingles array<long>, bits array<long>", make)
+    return map_texts(docs, keep, text, "shingles array<long>, bits array<long>", make).filter("shingles is not null")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of nodes that link: q * |A & B| >= p * |A or B|."""
-    p, q = t
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y"))
-    both = F.size(F.array_intersect("_x", "_y"))
-    return pairs.join(left, "a").join(right, "b").filter(q * both >= p * (F.size("_x") + F.size("_y") - both)).select("a", "b")
+def meetings(marks: DataFrame) -> DataFrame:
+    """(sig, a, b): pairs of nodes that hold one signature, enough to join all of its nodes; ``marks``: sig, node.
+
+    Rows are dealt in the order of both, so a signature that very many nodes hold lies in many tasks; each
+    task links neighbours, and what stands at tasks' ends is linked afterwards."""
+
+    def run(batches):
+        first = last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig, node = (batch.column(i).to_numpy() for i in (0, 1))
+            first = (sig[0], node[0]) if first is None else first
+            if last is not None:
+                sig, node = np.append(last[0], sig), np.append(last[1], node)
+            last = (sig[-1], node[-1])
+            own = np.flatnonzero((sig[1:] == sig[:-1]) & (node[1:] != node[:-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(sig[own]), pa.array(node[own]), pa.array(node[own + 1])], names=["sig", "a", "b"])
+        if first is not None:
+            ends = [np.array([x[i] for x in (first, last)]) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1]), pa.nulls(2, pa.int64())], names=["sig", "a", "b"])
+
+    dealt = marks.select("sig", "node").repartitionByRange("sig", "node").sortWithinPartitions("sig", "node")
+    found = written(dealt.mapInArrow(run, "sig long, a long, b long"), "meetings")
+    ends = found.filter("b is null").select("sig", F.col("a").alias("b")).distinct()
+    across = ends.join(ends.groupBy("sig").agg(F.min("b").alias("a")), "sig").filter("a <> b").select("sig", "a", "b")
+    return found.filter("b is not null").unionByName(across)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -229,7 +259,7 @@ class Tree:
     size, the OR of bitmaps, the component (if one), whether there are several, and the fewest bits."""
 
     def __init__(self, frame: pd.DataFrame):
-        frame = frame.sort_values(["n_shingles", "node"])
+        frame = frame.drop_duplicates("node").sort_values(["n_shingles", "node"])
         self.node = frame["node"].to_numpy()
         self.size = frame["n_shingles"].to_numpy()
         self.root = frame["root"].to_numpy()
@@ -325,71 +355,123 @@ def _tree_links(t: tuple[int, int]):
     return run
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", k: int = 3, t: tuple[int, int] = (9, 10), text: str = "text") -> DataFrame:
-    """id_col, n_shingles and component_id of each row: the least id that links reach, its own included.
-
-    Rows without words have an empty set and are linked with nothing. A null id takes part in links but
-    names no component: component_id is null only where no id in it is known. Rows of one id with
-    different texts are nodes of their own. Empty tables give an empty result.
-    """
+def linked(docs: DataFrame, id_col: str, k: int, t: tuple[int, int], text: str, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, nodes): _id, _hash (of the text), n_shingles and node of each row, and for each node its root (that of
+    its component), the least id in the component and _first, the row (whether its id is null, _id, _hash)
+    that comes first in it."""
     base = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_t")).withColumn("_hash", F.xxhash64("_t"))
-    rows = written(profiles(base, ["_id", "_hash"], k, t, "_t"), "profiles")
+    rows = written(profiles(base, ["_id", "_hash"], k, t, "_t", parts), "profiles")
     # Copies become one node here, before anything is compared; each node keeps one row's place.
-    nodes = rows.filter("node is not null").groupBy("node").agg(
+    nodes = written(rows.filter("node is not null").groupBy("node").agg(
         F.min("check").alias("_c"), F.max("check").alias("_d"), F.min("n_shingles").alias("n_shingles"),
-        F.min("_hash").alias("_hash"), F.min("_id").alias("_least"),
-    )
-    nodes = written(nodes, "nodes")
+        F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_hash")).alias("_first"),
+    ), "nodes")
     if nodes.filter("_c <> _d").limit(1).count():
         raise ValueError("two sets share a 64-bit digest; change the constants in MIX")
-    # One row stands for a node: that of its least text hash and least id under it.
-    firsts = rows.join(nodes.select("node", "_hash"), ["node", "_hash"]).groupBy("node", "_hash").agg(F.min("_id").alias("_id"))
-    firsts = written(firsts, "firsts")
-    marks = rows.join(firsts, (rows["node"] == firsts["node"]) & rows["_id"].eqNullSafe(firsts["_id"]) & (rows["_hash"] == firsts["_hash"]), "left_semi")
-    marks = written(marks.select("node", F.explode("signatures").alias("sig")).distinct(), "signatures")
-    groups = marks.groupBy("sig").agg(F.min("node").alias("head"), F.count("*").alias("members")).filter("members > 1")
-    grouped = written(marks.join(groups, "sig"), "groups")
-    stars = written(grouped.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    wanted = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
-    wanted = written(firsts.join(wanted, "node", "left_semi"), "wanted")
-    few = wanted.count() <= 1_000_000  # 24 bytes each: what is broadcast stays under 24 MB
-    texts = base.join(F.broadcast(wanted) if few else wanted, base["_id"].eqNullSafe(wanted["_id"]) & (base["_hash"] == wanted["_hash"])).select("node", "_t")
-    sets = written(shingle_sets(texts, ["node"], k, "_t").dropDuplicates(["node"]), "sets")
-    links = written(verified(stars, sets, t), "links")
-
+    met = meetings(rows.select(F.explode("signatures").alias("sig"), "node"))
+    clusters = components(met.select("a", "b"))
+    wanted = written(placed(clusters.withColumnRenamed("root", "cluster").join(nodes.select("node", "n_shingles", "_first"), "node")), "wanted")
+    few = wanted.count() <= 400_000  # 60 bytes each: what is broadcast stays under 24 MB
+    keyed = wanted.select("node", "cluster", "block", F.col("_first._id").alias("_i"), F.col("_first._hash").alias("_h"))
+    texts = base.join(F.broadcast(keyed) if few else keyed, base["_id"].eqNullSafe(keyed["_i"]) & (base["_hash"] == keyed["_h"]))
+    sets = written(shingle_sets(texts.select("node", "cluster", "block", "_t"), ["node", "cluster", "block"], k, "_t").withColumn("n_shingles", F.size("shingles").cast("long")), "sets")
+
+    alone = sets.withColumns({"root": F.col("node"), "side": F.lit(0)})
+    links = written(alone.groupBy("cluster", "block").applyInPandas(_tree_links(t), "a long, b long"), "links")
     roots = components(links)
-    for within in (True, False):
-        # First inside blocks; only components that are still apart are then searched across blocks.
-        rest = _residual(grouped, roots, sets, nodes, within)
-        more = written(rest.groupBy("sig", "bx", "by").applyInPandas(_tree_links(t), "a long, b long"), "links")
+    many = wanted.filter("block <> 0")
+    for neighbours in (True, False) if many.limit(1).count() else ():
+        # Clusters of several blocks: neighbouring ones first; what is still apart is searched in full.
+        more = written(_across(sets, many, roots, t, neighbours).groupBy("cluster", "bx", "by").applyInPandas(_tree_links(t), "a long, b long"), "links")
         if more.limit(1).count():
             links = links.unionByName(more)
             roots = components(links)
-    labels = nodes.join(roots, "node", "left").select("node", "_least", F.coalesce("root", "node").alias("root"))
-    least = labels.groupBy("root").agg(F.min("_least").alias("component_id"))
-    of_node = written(labels.join(least, "root").select("node", "component_id"), "labels")
-    out = rows.select("_id", "n_shingles", "node").join(of_node, "node", "left")
-    return out.select(F.col("_id").alias(id_col), "n_shingles", F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
-
-
-def _residual(grouped: DataFrame, roots: DataFrame, sets: DataFrame, nodes: DataFrame, within: bool) -> DataFrame:
-    """Members of the groups that hold several components, dealt to blocks: a group of m members has
-    ceil(m / BLOCK) of them. ``within``: each member to its own block; else to each pair of different blocks
-    that its own is in."""
-    placed = grouped.filter("members > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("sig").agg(F.min("root").alias("_x"), F.max("root").alias("_y"), F.bit_xor(F.xxhash64("node")).alias("_who"), F.count("*").alias("_n"))
-    mixed = mixed.filter("_x <> _y")
-    # Groups of the same members need one search.
-    mixed = mixed.groupBy("_who", "_n").agg(F.min("sig").alias("sig"))
-    some = placed.join(mixed.select("sig", "_n"), "sig")
-    blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
-    some = some.withColumn("_b", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    some = some.withColumn("_o", F.explode(F.array("_b") if within else F.array_except(F.sequence(F.lit(0), blocks - 1), F.array("_b"))))
-    some = some.join(sets, "node").join(nodes.select("node", "n_shingles"), "node")
-    return some.select(
-        "sig", "node", "root", "n_shingles", "bits", "shingles", F.least("_b", "_o").alias("bx"), F.greatest("_b", "_o").alias("by"),
-        F.when(F.col("_b") <= F.col("_o"), 0).otherwise(1).alias("side"),
+    labels = nodes.select("node", "_first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Most nodes are alone: only the others' components are gathered.
+    shared = labels.groupBy("root").agg(F.min("_first").alias("_first"))
+    return rows, written(labels.select("node", "root").join(shared, "root"), "labels")
+
+
+def placed(members: DataFrame) -> DataFrame:
+    """``members`` (cluster, node, n_shingles) with block: 0 where a cluster fits one, else size range << 32 | number,
+    from 1 << 32 on, with so many numbers in a range that BLOCK and BLOCK_SHINGLES hold on average."""
+    whole = members.groupBy("cluster").agg(F.count("*").alias("_m"), F.sum("n_shingles").alias("_s"))
+    large = whole.filter((F.col("_m") > BLOCK) | (F.col("_s") > BLOCK_SHINGLES)).select("cluster")
+    level = (F.floor(F.log("n_shingles") / math.log(1.1)) + 1).cast("long")
+    ranges = members.join(large, "cluster", "left_semi").groupBy("cluster", level.alias("_r")).agg(
+        F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long").alias("_k")
     )
+    out = members.withColumn("_r", level).join(ranges, ["cluster", "_r"], "left")
+    number = F.shiftleft("_r", 32) + F.pmod(F.xxhash64("node"), F.col("_k"))
+    return out.withColumn("block", F.coalesce(number, F.lit(0).cast("long"))).drop("_r", "_k")
+
+
+def _across(sets: DataFrame, many: DataFrame, roots: DataFrame, t: tuple[int, int], neighbours: bool) -> DataFrame:
+    """Members of pairs of different blocks that may link: of neighbouring ones, or of all that the roots of their
+    trees allow, in clusters that aren't one component yet."""
+    p, q = t
+    here = many.select("cluster", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = here.groupBy("cluster").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).filter("_x <> _y").select("cluster")
+    own = sets.filter("block <> 0").join(apart, "cluster", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if neighbours:
+        blocks = own.select(F.col("cluster").alias("sig"), F.col("block").alias("node")).distinct()
+        pairs = meetings(blocks).select(F.col("sig").alias("cluster"), F.least("a", "b").alias("bx"), F.greatest("a", "b").alias("by"))
+    else:
+        ones = F.aggregate("bits", F.lit(0), lambda n, x: n + F.bit_count(x))
+        tops = own.groupBy("cluster", "block").agg(
+            F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(ones).alias("least"),
+            F.array(*[F.bit_or(F.get("bits", i)) for i in range(BITS)]).alias("bits"),
+        )
+        tops = written(tops, "tops")
+        x, y = (tops.select("cluster", *[F.col(c).alias(f"{c}{n}") for c in tops.columns if c != "cluster"]) for n in ("_x", "_y"))
+        common = F.aggregate(F.zip_with("bits_x", "bits_y", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda n, c: n + c)
+        most = F.least(*[F.col(f"high_{s}") - F.greatest(F.col(f"least_{s}") - common, F.lit(0)) for s in "xy"])
+        can = (q * F.col("high_x") >= p * F.col("low_y")) & (q * F.col("high_y") >= p * F.col("low_x"))
+        can &= (F.col("r0_x") != F.col("r1_x")) | (F.col("r0_y") != F.col("r1_y")) | (F.col("r0_x") != F.col("r0_y"))
+        can &= (p + q) * most >= p * (F.col("low_x") + F.col("low_y"))
+        pairs = x.join(y, "cluster").filter("block_x < block_y").filter(can).select("cluster", F.col("block_x").alias("bx"), F.col("block_y").alias("by"))
+    pairs = written(pairs.distinct(), "pairs")
+    sides = pairs.select("cluster", "bx", "by", F.col("bx").alias("block"), F.lit(0).alias("side")).unionByName(pairs.select("cluster", "bx", "by", F.col("by").alias("block"), F.lit(1).alias("side")))
+    return own.join(sides, ["cluster", "block"]).select("cluster", "bx", "by", "side", "node", "root", "n_shingles", "bits", "shingles")
+
+
+def link_components(docs: DataFrame, id_col: str = "doc_id", k: int = 3, t: tuple[int, int] = (9, 10), text: str = "text", parts: int | None = None) -> DataFrame:
+    """id_col, n_shingles and component_id of each row: the least id that links reach, its own included.
+
+    Rows without words have an empty set and are linked with nothing. A null id takes part in links but
+    names no component: component_id is null only where no id in it is known. Rows of one id with
+    different texts are nodes of their own. Empty tables give an empty result; other columns aren't read.
+    ``parts``: of sets that would need more signatures than so many, in a size range, so many serve: a
+    pair of similarity t at 72 escapes with a chance of about 1e-12. None: every set has all it needs.
+    """
+    rows, nodes = linked(docs, id_col, k, t, text, parts)
+    some = rows.filter("node is not null").select("_id", "n_shingles", "node").join(nodes.select("node", F.col("_first._id").alias("component_id")), "node")
+    none = rows.filter("node is null").select("_id", "n_shingles", F.col("_id").alias("component_id"))
+    return some.select("_id", "n_shingles", "component_id").unionByName(none).withColumnRenamed("_id", id_col)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", k: int = 5, t: tuple[int, int] = (4, 5), text: str = "text", parts: int | None = None) -> DataFrame:
+    """``docs``, all its columns, with one row of each component: that of the least id (null ids last), of its
+    rows the one of the least text hash, and of rows that share id and text the one of the least hash.
+
+    Rows without words, null texts among them, are linked with nothing and all stay. Other rows of a kept row's
+    id stay or go by their own texts."""
+    rows, nodes = linked(docs, id_col, k, t, text, parts)
+    some = rows.filter("node is not null").groupBy("_id", "_hash", "node").agg(F.count("*").alias("_n"))
+    some = some.join(nodes.select("node", F.col("_first._id").alias("_i"), F.col("_first._hash").alias("_h")), "node")
+    kept = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))
+    fate = written(some.select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), kept.alias("_kept"), "_n").filter("not _kept or _n > 1"), "fates")
+    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), docs[id_col].alias("_id"), F.xxhash64(docs[text]).alias("_hash"))
+    few = fate.count() <= 1_000_000  # 24 bytes each: what is broadcast stays under 24 MB
+    fate = F.broadcast(fate) if few else fate
+    on = whole["_id"].eqNullSafe(fate["_i"]) & (whole["_hash"] == fate["_h"])
+    out = whole.join(fate, on, "left_anti").select("_row")
+    again = fate.filter("_kept")
+    if again.limit(1).count():
+        plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+        more = whole.join(again, on).groupBy("_id", "_hash").agg(F.min_by("_row", F.xxhash64(*[F.col("_row")[c] for c in plain])).alias("_row"))
+        out = out.unionByName(more.select("_row"))
+    return out.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

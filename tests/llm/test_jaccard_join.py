@@ -55,16 +55,18 @@ def corpus(seed, size=240):
     return rows
 
 
-@pytest.mark.parametrize(("k", "t"), [(3, (9, 10)), (5, (4, 5))])
-def test_same_components_as_brute_force(spark, k, t):
+@pytest.mark.parametrize(("k", "t", "parts"), [(3, (9, 10), None), (5, (4, 5), None), (5, (4, 5), 72)])
+def test_same_components_as_brute_force(spark, k, t, parts):
     rows = corpus(k)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = jj.link_components(docs, k=k, t=t).collect()
+    got = jj.link_components(docs, k=k, t=t, parts=parts).collect()
     assert sorted((tuple(r) for r in got), key=repr) == brute(rows, k, *t)
 
 
-def test_groups_of_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jj, "BLOCK", 8)
+@pytest.mark.parametrize(("block", "shingles"), [(8, 1 << 20), (512, 300)])
+def test_clusters_of_many_blocks(spark, monkeypatch, block, shingles):
+    monkeypatch.setattr(jj, "BLOCK", block)
+    monkeypatch.setattr(jj, "BLOCK_SHINGLES", shingles)
     r = random.Random(9)
     base = [f"w{i}" for i in range(70)]
     rows = [(i, " ".join(edited(r, base, r.choice([0, 1, 1, 2, 3])))) for i in range(80)]
@@ -73,6 +75,69 @@ def test_groups_of_many_blocks(spark, monkeypatch):
     assert sorted((tuple(x) for x in got), key=repr) == brute(rows, 3, 9, 10)
 
 
+def test_long_sets_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(jj, "BLOCK_SHINGLES", 30_000)
+    r, rows = random.Random(11), []
+    for size in (600, 1500, 5000, 20_000):
+        base = [f"w{r.randrange(10**6)}" for _ in range(size)]
+        # Differences spread out singly and all in one place, on both sides of the threshold.
+        for share in (0.0, 0.01, 0.016, 0.0172, 0.0178, 0.02, 0.03):
+            words, n = list(base), int(share * size)
+            for at in r.sample(range(size), n):
+                words[at] = f"x{r.randrange(10**9)}"
+            rows.append((len(rows), " ".join(words)))
+            rows.append((len(rows), " ".join([*base[: size - 3 * n], *(f"y{r.randrange(10**9)}" for _ in range(n))])))
+    got = jj.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(x) for x in got), key=repr) == brute(rows, 3, 9, 10)
+    assert 4 < len({x.component_id for x in got}) < len(rows) - 8
+
+
+def test_a_group_of_thousands(spark):
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(edited(r, base, 1))) for i in range(5000)] + [(5000 + i, "copy of one text with a few words") for i in range(500)]
+    got = jj.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x.doc_id < 5000, x.component_id) for x in got} == {(True, 0), (False, 5000)} and len(got) == 5500
+
+
+def test_meetings_join_each_signature(spark):
+    r = random.Random(13)
+    held = [(r.randrange(40), r.randrange(300)) for _ in range(1500)] + [(99, i) for i in range(2000)] + [(98, 7)] * 50
+    pairs = jj.meetings(spark.createDataFrame(held, "sig long, node long").repartition(7)).collect()
+    for sig in range(100):
+        nodes = {n for s, n in held if s == sig}
+        label = {n: n for n in nodes}
+
+        def find(n, label=label):
+            while label[n] != n:
+                n = label[n]
+            return n
+
+        for x in pairs:
+            if x.sig == sig:
+                label[find(x.a)] = find(x.b)
+        assert len({find(n) for n in nodes}) == min(len(nodes), 1)
+
+
+def test_one_of_each_keeps_all_columns(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    other, third = " ".join(f"v{i}" for i in range(40)), " ".join(f"u{i}" for i in range(40))
+    rows = [(1, text, "a"), (2, text + " more", "b"), (2, other, "c"), (None, text, "d"), (None, third, "e"), (7, third + " end", "f"), (8, None, "g"), (8, None, "h"), (9, " \t", "i"), (3, other, "j"), (1, text, "a"), (1, text, "a")]
+    docs = spark.createDataFrame([(*r, 1.5, [2]) for r in rows], "doc_id long, text string, node string, `_id.x` double, _hash array<int>")
+    got = jj.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(((x.doc_id, x.node) for x in got.collect()), key=repr) == sorted([(1, "a"), (2, "c"), (7, "f"), (8, "g"), (8, "h"), (9, "i")], key=repr)
+    assert jj.one_of_each(docs.limit(0)).collect() == []
+
+
+def test_the_query_itself(spark, tmp_path):
+    rows = corpus(8, 60)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = jj.op8_jaccard_join(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_shingles", "component_id"]
+    assert sorted((tuple(x) for x in got.collect()), key=repr) == brute(rows, 3, 9, 10)
+
+
 def test_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(None, text), (None, text), (4, text), (4, "other words here now"), (9, "long" * 100_000), (None, "alone in the world")]
