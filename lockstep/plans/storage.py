@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session. A local session without one gets its own."""
+    """``spark.checkpoint.dir`` of the session. A session in one process without it gets its own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^-\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints/lockstep")
         where = spark.sparkContext.getCheckpointDir()
@@ -19,8 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str = "step", path: str | None = None) -> DataFrame:
-    """``df`` as Parquet in the shared folder, read back: a plan without history that survives lost
-    executors."""
+    """``df`` as Parquet in the shared folder, read back: a plan without history, which no later stage works
+    out again and which survives lost executors."""
     path = path or f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
