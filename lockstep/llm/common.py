@@ -2,36 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import shared_dir, written  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only a local session may do without one."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if where:
-        return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    spark.sparkContext.setCheckpointDir("/tmp/checkpoints/lockstep")
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` stored as Parquet in the shared folder and read back, so that no later stage repeats
-    its work and a lost executor costs nothing that was finished."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(text: str = "text") -> Column:
     """UTF-8 bytes of a text column, null as empty."""
     return F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b""))
@@ -83,35 +63,56 @@ def numbered(df: DataFrame, order: list[str], within: str | None = None, buckets
     return rows.select(*keys, (F.col("_first") + F.col("_k")).alias(name)), totals
 
 
-def map_texts(df: DataFrame, keep: list[str], text: str, schema: str, make, piece: int = 4 << 20) -> DataFrame:
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, led by as many underscores as make it new in ``df``."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
+def map_texts(df: DataFrame, keep: list[str], text: str, schema: str, make, piece: int = 4 << 20, also: tuple[str, ...] = ()) -> DataFrame:
     """Columns ``keep`` beside what a function makes of each text.
 
-    ``make()`` runs once in a task and returns f(texts) -> one list for each column of ``schema`` (a DDL
-    string without ``keep``). Texts reach f whole, null as null, in lists of about ``piece`` bytes, so
-    that a task holds little at a time whatever the lengths.
+    ``make()`` runs once in a task and returns f(texts, ...) -> one list for each column of ``schema`` (a DDL
+    string without ``keep``); it gets lists of the columns ``also``, too. Texts reach f whole, null as null, in
+    lists of about ``piece`` bytes, so that a task holds little at a time whatever the lengths. Bytes that
+    aren't UTF-8 are read as replacement characters. A name of ``schema`` that is in ``keep`` is an error.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     made = StructType.fromDDL(schema)
-    out = StructType([*df.select(*keep).schema.fields, *made.fields])
+    if clash := set(keep) & set(made.names):
+        raise ValueError(f"columns by the names of new ones: {sorted(clash)}")
+    out = StructType([*df.select(*map(quoted, keep)).schema.fields, *made.fields])
     arrow = to_arrow_schema(out)
-    place = keep.index(text) if text in keep else len(keep)
+    # What the function reads lies behind the columns that are kept.
+    first = len(keep)
 
     def run(batches):
         f = make()
         for batch in batches:
             held, start, n = [], 0, 0
-            column = batch.column(place)
+            column = batch.column(first)
+            if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+                column = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+                read = lambda x: x if x is None else x.decode("utf-8", "replace")
+            else:
+                read = lambda x: x
             for i in range(batch.num_rows):
-                held.append(value := column[i].as_py())
+                held.append(value := read(column[i].as_py()))
                 n += len(value or "") + 64
                 if n >= piece or i + 1 == batch.num_rows:
-                    columns = [batch.column(j).slice(start, len(held)) for j in range(len(keep))]
-                    columns += [pa.array(x, type=arrow.field(len(keep) + k).type) for k, x in enumerate(f(held))]
+                    more = [batch.column(first + 1 + j).slice(start, len(held)).to_pylist() for j in range(len(also))]
+                    columns = [batch.column(j).slice(start, len(held)) for j in range(first)]
+                    columns += [pa.array(x, type=arrow.field(first + k).type) for k, x in enumerate(f(held, *more))]
                     yield pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(columns, arrow, strict=True)], schema=arrow)
                     held, start, n = [], i + 1, 0
 
-    sent = df.select(*keep) if text in keep else df.select(*keep, F.col(text).alias("_text"))
-    return sent.mapInArrow(run, out)
+    read = [quoted(text).alias("_text"), *[quoted(c).alias(f"_also{i}") for i, c in enumerate(also)]]
+    return df.select(*map(quoted, keep), *read).mapInArrow(run, out)

@@ -1,11 +1,12 @@
-"""Substring dedup: word grams, winnowed to find where texts agree, then compared at every word.
-
-A gram is GRAM words in a row, as one digest. Of the grams in each window the least is a text's
-fingerprint, so two texts that share min_words words in a row share a fingerprint there, whatever stands
-around them. Only near fingerprints that occur twice are all grams compared: one that stands in a document
-of a smaller id, or earlier in the same one, is a repeat. Grams that repeat at each word of min_words words
-and more in a row are cut out, from the first of these words to the last; shorter runs are common phrases
-and stay.
+"""Substring dedup: content-defined chunks by a gear hash find where texts agree; repeats are cut to the word.
+
+A text's words are cut into chunks at the words where a gear hash of the last few is least among its
+neighbours. So boundaries follow from the words around them alone, an insertion shifts none but those beside
+it, and two texts that share min_words words in a row share a whole chunk there. Chunks are deduplicated by
+digest over all texts. Only near chunks that occur twice are grams of GRAM words compared: one that stands
+in a document of a smaller id, or earlier in the same one, is a repeat. Grams that repeat at each word of
+min_words words and more in a row are cut out, from the first of these words to the last; shorter runs are
+common phrases and stay. Copies of a whole text are found by its hash.
 """
 
 from __future__ import annotations
@@ -13,22 +14,21 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .common import map_texts, table, written
+from .common import free_name, map_texts, quoted, table, written
 
 #: Bytes of a word past which it is divided, and of a part of it at most; parts are 2 ** BITS bytes on average.
 UNSPACED, LONGEST, BITS = 64, 1024, 3
-#: Words of a gram, and of a run that is cut.
-GRAM, MIN_WORDS = 16, 30
+#: Words that the gear hash reads, of a gram, and of a run that is cut.
+READ, GRAM, MIN_WORDS = 4, 16, 30
 
 
 def gear_table() -> np.ndarray:
     x = np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((x ^ (x >> np.uint64(27))) >> np.uint64(20)).astype(np.uint16)
+    return x ^ (x >> np.uint64(27))
 
 
 GEAR = gear_table()
@@ -61,7 +61,7 @@ def boundaries(data: bytes) -> np.ndarray:
 
 def _marks(raw: np.ndarray) -> np.ndarray:
     """Characters' begins, from the second on, at or next after the marks of the gear hash."""
-    h = GEAR[raw]
+    h = (GEAR >> np.uint64(20)).astype(np.uint16)[raw]
     # h[i] = sum of GEAR[byte i-j] << j over 16 bytes, by doubling.
     for span in (1, 2, 4, 8):
         if len(h) > span:
@@ -100,44 +100,69 @@ def digests(data: bytes, ends: np.ndarray, k: int = GRAM) -> tuple[np.ndarray, n
     return words, (grams ^ (grams >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def fingerprints(grams: np.ndarray, window: int) -> np.ndarray:
-    """Places of the least grams of all windows; none where there is no whole window."""
-    if len(grams) < window:
-        return np.zeros(0, np.int64)
-    seen = np.lib.stride_tricks.sliding_window_view(grams, window)
-    return np.unique(seen.argmin(1) + np.arange(len(seen)))
+def chunks(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Digests and first words of a text's chunks, from the digests of its words; none for an empty text.
+
+    The gear hash of a place adds up the table's entries for the words before it, shifted by their distance, so
+    that READ words fill it. A chunk begins where the hash is the least of all in some window of places."""
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    gear = GEAR[(words >> np.uint64(56)).astype(np.int64)]
+    h = gear.copy()
+    for j in range(1, READ):
+        h[j:] += gear[:-j] << np.uint64(64 // READ * j)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    begins = np.zeros(1, np.int64)
+    if n >= READ + window:
+        # The hash up to a word decides on the place behind it.
+        seen = np.lib.stride_tricks.sliding_window_view(h[READ - 1 : n - 1], window)
+        begins = np.unique(np.append(seen.argmin(1) + np.arange(len(seen)) + READ, 0))
+    place = np.arange(n) - np.repeat(begins, np.diff(begins, append=n))
+    mixed = (words + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xBF58476D1CE4E5B9)
+    digest = np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), begins)
+    return (digest ^ (digest >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15), begins
 
 
 def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _grams(text: str | None, k: int) -> np.ndarray:
+def _digests(text: str | None, k: int) -> tuple[np.ndarray, np.ndarray]:
     data = _bytes(text)
-    return digests(data, boundaries(data), k)[1]
+    return digests(data, boundaries(data), k)
+
 
+def window_of(min_words: int) -> int:
+    """Places of a window, such that min_words words hold READ - 1 of them and two windows."""
+    if min_words < READ + 1:
+        raise ValueError(f"min_words is {READ + 1} at least")
+    return (min_words - READ + 1) // 2
 
-def text_fingerprints(docs: DataFrame, keep: list[str], k: int, window: int, text: str = "text") -> DataFrame:
-    """``keep`` with the fingerprints of a text and their places in order."""
+
+def text_chunks(docs: DataFrame, keep: list[str], window: int, text: str = "text") -> DataFrame:
+    """``keep`` with n_words and a text's chunks in order: digests and first words."""
 
     def make():
         def run(texts):
-            grams = [_grams(t, k) for t in texts]
-            at = [fingerprints(g, window) for g in grams]
-            return [g[a].view(np.int64) for g, a in zip(grams, at, strict=True)], at
+            words = [_digests(t, 1)[0] for t in texts]
+            made = [chunks(w, window) for w in words]
+            return [len(w) for w in words], [d.view(np.int64) for d, _ in made], [b for _, b in made]
 
         return run
 
-    return map_texts(docs, keep, text, "prints array<long>, places array<int>", make)
+    return map_texts(docs, keep, text, "n_words long, digests array<long>, begins array<int>", make)
 
 
-def near(places: list[int], window: int) -> list[tuple[int, int]]:
-    """Stretches (first gram, one past the last) with all grams less than a window from one of the places."""
+def near(held: list[tuple[int, int]], window: int, k: int) -> list[tuple[int, int]]:
+    """Stretches (first gram, one past the last) of all grams that a run around one of these chunks (first word,
+    one past the last) may hold: it begins READ - 1 words and a window before a chunk at most, and ends a
+    window behind one."""
     out: list[list[int]] = []
-    for at in sorted(places):
-        a, b = max(at - window + 1, 0), at + window
+    for first, past in sorted(held):
+        a, b = max(first - window - READ + 1, 0), max(past + window - k + 1, 1)
         if out and a <= out[-1][1]:
-            out[-1][1] = b
+            out[-1][1] = max(b, out[-1][1])
         else:
             out.append([a, b])
     return [(a, b) for a, b in out]
@@ -145,7 +170,7 @@ def near(places: list[int], window: int) -> list[tuple[int, int]]:
 
 def grams_near(text: str | None, stretches: list[tuple[int, int]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Grams in the stretches, their places, and whether one stands at an earlier place, too."""
-    grams = _grams(text, k)
+    grams = _digests(text, k)[1]
     at = np.concatenate([np.arange(a, min(b, len(grams))) for a, b in stretches]).astype(np.int32)
     grams = grams[at]
     again = np.ones(len(grams), bool)
@@ -170,91 +195,109 @@ def runs(hits: list[tuple[int, int]], k: int, min_words: int) -> list[tuple[int,
     return out
 
 
-def _met(docs: DataFrame, found: DataFrame, items, how: str) -> DataFrame:
-    """``docs`` with what was found in each; ``found`` is sent to all executors where its items are few."""
-    size = found.agg(F.sum(items)).first()[0] or 0
-    small = size <= 1_000_000  # under 48 bytes for each run and id
-    on = (docs["_id"] == found["_id"]) & docs["_hash"].eqNullSafe(found["_hash"])
-    return docs.join(F.broadcast(found) if small else found, on, how).drop(found["_id"], found["_hash"])
-
+#: Bytes of what may be sent to all executors.
+SENT = 16 << 20
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with text cut, and the columns removed_spans (byte ranges of the old text), removed_bytes and
-    first_ids (ids of the documents that hold the first occurrences of what was cut).
 
-    First means in the least id, and there first in the text. Of documents that equal each other the one of
-    least id stays whole and the others lose all (their text is empty then). Rows that share an id count as
-    one document: between them nothing is a repeat, within each it is. Null ids come last and count as one
-    document. Null texts stay null, with nothing removed. Columns of ``docs`` by the new names are replaced.
-    """
-    new = ["removed_spans", "removed_bytes", "first_ids"]
-    docs = docs.drop(*new)
-    last = F.lit((1 << 63) - 1)
-    keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), last)).withColumn("_hash", F.xxhash64(text))
-    k = min(GRAM, min_words)
-    window = min_words - k + 1
-    prints = written(text_fingerprints(keyed, ["_id", "_hash"], k, window, text), "fingerprints")
-    spread = prints.select("_id", "_hash", F.explode(F.arrays_zip("prints", "places")).alias("_p")).select("_id", "_hash", "_p.*")
-    shared = prints.select(F.explode("prints").alias("prints")).groupBy("prints").agg(F.count("*").alias("_n")).filter("_n > 1").select("prints")
+def _met(docs: DataFrame, found: DataFrame, items: Column, how: str) -> DataFrame:
+    """``docs`` with what was found in each; ``found`` is sent to all executors where it is small: each row is
+    counted with 48 bytes, each of its ``items`` with 24."""
+    size = found.agg(F.sum(items * 24 + 48)).first()[0] or 0
+    on = (docs["_id"] == found["_id"]) & docs["_hash"].eqNullSafe(found["_hash"])
+    return docs.join(F.broadcast(found) if size <= SENT else found, on, how).drop(found["_id"], found["_hash"])
+
+
+RUNS = "array<struct<a:int,b:int,ids:array<bigint>>>"
+
+
+def repeats(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """_id, _hash and _runs of the documents with repeats, from ``docs`` with _id, _hash and a text."""
+    k, window = min(GRAM, min_words), window_of(min_words)
+    held = written(text_chunks(docs, ["_id", "_hash"], window, text), "chunks")
+    # Copies of a whole text are one document from here on: of the least id. The others are cut as a whole.
+    wholes = held.filter(F.col("n_words") >= min_words).groupBy("_hash").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).filter("_first < _last")
+    wholes = written(wholes.select(F.col("_hash").alias("_h"), "_first"), "wholes")
+    few = wholes.count() * 32 <= SENT
+    others = F.broadcast(wholes) if few else wholes
+    copy = (F.col("_hash") == F.col("_h")) & (F.col("_id") > F.col("_first"))
+    copies = held.select("_id", "_hash", "n_words").join(others, copy).select(
+        "_id", "_hash", F.array(F.struct(F.lit(0).alias("a"), F.col("n_words").cast("int").alias("b"), F.array("_first").alias("ids"))).cast(RUNS).alias("_runs")
+    ).distinct()
+    own = held.filter(F.col("n_words") >= min_words).join(others, copy, "left_anti")
+    shared = own.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("_n")).filter("_n > 1").select("digest")
+    ends = F.concat(F.slice("begins", 2, F.greatest(F.size("begins") - 1, F.lit(1))), F.array(F.col("n_words").cast("int")))
+    spread = own.select("_id", "_hash", F.explode(F.arrays_zip(F.col("digests").alias("digest"), F.col("begins").alias("a"), ends.alias("b"))).alias("_c")).select("_id", "_hash", "_c.*")
     # A document's places are as many as its words at most.
-    places = spread.join(shared, "prints").groupBy("_id", "_hash").agg(F.collect_set("places").alias("_places"))
+    places = spread.join(shared, "digest").groupBy("_id", "_hash").agg(F.collect_set(F.struct("a", "b")).alias("_held"))
 
     @F.pandas_udf("array<struct<a:int,b:int>>")
-    def stretches_of(column: pd.Series) -> pd.Series:
-        return column.map(lambda p: [{"a": a, "b": b} for a, b in near(p.tolist(), window)])
-
-    stretches = written(places.select("_id", "_hash", stretches_of("_places").alias("_near")), "stretches")
-
-    def compare(batches):
-        for frame in batches:
-            held, size = [], 0
-            for i, found, x, value in zip(frame["_id"], frame["_near"], frame["_hash"], frame["_value"], strict=True):
-                held.append((i, x, *grams_near(value, [(s["a"], s["b"]) for s in found], k)))
-                size += len(held[-1][2])
-                if size > 1 << 18:
-                    yield pd.DataFrame(held, columns=made)
-                    held, size = [], 0
-            yield pd.DataFrame(held, columns=made)
-
-    made = ["_id", "_hash", "grams", "_at", "_again"]
-    asked = _met(keyed.select("_id", "_hash", F.col(text).alias("_value")), stretches, F.size("_near"), "inner")
-    rows = written(asked.mapInPandas(compare, "_id long, _hash long, grams array<long>, _at array<int>, _again array<boolean>"), "grams")
+    def stretches_of(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([[{"a": x, "b": y} for x, y in near(list(zip(p.tolist(), q.tolist(), strict=True)), window, k)] for p, q in zip(a, b, strict=True)], dtype=object)
+
+    stretches = written(places.select("_id", "_hash", stretches_of("_held.a", "_held.b").alias("_near")), "stretches")
+
+    def compare():
+        def run(texts, found):
+            made = [grams_near(t, [(x["a"], x["b"]) for x in f], k) for t, f in zip(texts, found, strict=True)]
+            return list(zip(*made, strict=True))
+
+        return run
+
+    asked = _met(docs, stretches, F.size("_near"), "inner")
+    rows = written(map_texts(asked, ["_id", "_hash"], text, "grams array<long>, _at array<int>, _again array<boolean>", compare, 1 << 20, ("_near",)), "grams")
     each = rows.select("_id", "_hash", F.explode(F.arrays_zip("grams", "_at", "_again")).alias("_g")).select("_id", "_hash", "_g.*")
     first = rows.select("_id", F.explode("grams").alias("grams")).groupBy("grams").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
     hits = each.join(first.select("grams", "_first"), "grams").filter("_first < _id or _again")
     # A document's repeats are as many as its words at most.
-    marked = hits.groupBy("_id", "_hash").agg(F.collect_set(F.struct("_at", "_first")).alias("_hits")).filter(F.size("_hits") >= window)
+    marked = hits.groupBy("_id", "_hash").agg(F.collect_set(F.struct("_at", "_first")).alias("_hits")).filter(F.size("_hits") >= min_words - k + 1)
 
-    @F.pandas_udf("array<struct<a:int,b:int,ids:array<long>>>")
+    @F.pandas_udf(RUNS)
     def runs_of(places: pd.Series, firsts: pd.Series) -> pd.Series:
         found = (runs(list(zip(p.tolist(), f.tolist(), strict=True)), k, min_words) for p, f in zip(places, firsts, strict=True))
         return pd.Series([[{"a": a, "b": b, "ids": ids} for a, b, ids in x] for x in found], dtype=object)
 
-    marked = written(marked.select("_id", "_hash", runs_of("_hits._at", "_hits._first").alias("_runs")).filter(F.size("_runs") > 0), "runs")
-    met = _met(keyed, marked, F.size("_runs") + F.size(F.flatten("_runs.ids")), "left").drop("_id", "_hash")
-    plain = [c for c in met.columns if c != "_runs"]
+    marked = marked.select("_id", "_hash", runs_of("_hits._at", "_hits._first").alias("_runs")).filter(F.size("_runs") > 0)
+    return written(marked.unionByName(copies), "runs")
 
-    def run(batches):
-        for frame in batches:
-            frame["_cut"] = [_cut_one(value, found) for value, found in zip(frame[text], frame["_runs"], strict=True)]
-            yield frame.drop(columns=["_runs"])
 
-    made = "_cut struct<text:string,spans:array<struct<start:long,end:long>>,bytes:long,ids:array<long>>"
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, into: tuple[str, str, str] = ("removed_spans", "removed_bytes", "first_ids")) -> DataFrame:
+    """``docs`` with text cut, and three new columns: the byte ranges cut from the old text, their bytes, and the ids
+    of the documents that hold the first occurrences of what was cut.
+
+    First means in the least id, and there first in the text. Of documents that equal each other the one of
+    least id stays whole and the others lose all (their text is empty then). Rows that share an id count as
+    one document: between them nothing is a repeat, within each it is. Null ids come last and count as one
+    document. Null texts stay null, with nothing removed. Texts of fewer than min_words words stay. Columns of
+    ``docs`` by the new names are replaced. An empty table gives an empty result.
+    """
+    docs = docs.drop(*into)
+    last = F.lit((1 << 63) - 1)
+    row = free_name(docs, "_row")
+    ids = F.coalesce(quoted(id_col).cast("long"), last)
+    keyed = docs.select(F.struct(*map(quoted, docs.columns)).alias(row), quoted(text).alias("_value"), ids.alias("_id"), F.xxhash64(quoted(text)).alias("_hash"))
+    marked = repeats(keyed.select("_id", "_hash", "_value"), "_value", min_words)
+    met = _met(keyed, marked, F.size("_runs") + F.size(F.flatten("_runs.ids")), "left")
+
+    def cut():
+        return lambda texts, found: ([_cut_one(t, f) for t, f in zip(texts, found, strict=True)],)
+
     # Only documents with a run to cut pass through Python.
-    done = met.filter(F.col("_runs").isNotNull() & F.col(text).isNotNull()).mapInPandas(run, StructType([*met.select(*plain).schema.fields, *StructType.fromDDL(made).fields]))
-    names = [F.col("_cut.text").alias(text) if c == text else F.col(c) for c in plain]
+    made = "_cut struct<text:string,spans:array<struct<start:long,end:long>>,bytes:long,ids:array<long>>"
+    some = F.col("_runs").isNotNull() & F.col("_value").isNotNull()
+    done = map_texts(met.filter(some), [row], "_value", made, cut, also=("_runs",))
+    cells = [F.col(row)[c].alias(c) for c in docs.columns]
     cut_rows = done.select(
-        *names, F.col("_cut.spans").alias("removed_spans"), F.col("_cut.bytes").alias("removed_bytes"),
-        F.transform("_cut.ids", lambda x: F.when(x != last, x)).alias("first_ids"),
+        *[F.col("_cut.text").alias(text) if c == text else x for c, x in zip(docs.columns, cells, strict=True)], F.col("_cut.spans").alias(into[0]),
+        F.col("_cut.bytes").alias(into[1]), F.transform("_cut.ids", lambda x: F.when(x != last, x)).alias(into[2]),
     )
     none = F.array()
-    whole = met.filter(F.col("_runs").isNull() | F.col(text).isNull()).select(
-        *plain, none.cast("array<struct<start:long,end:long>>").alias("removed_spans"), F.lit(0).cast("long").alias("removed_bytes"), none.cast("array<long>").alias("first_ids")
+    whole = met.filter(~some).select(
+        *cells, none.cast("array<struct<start:long,end:long>>").alias(into[0]), F.lit(0).cast("long").alias(into[1]), none.cast("array<long>").alias(into[2])
     )
     return whole.unionByName(cut_rows)
 
 
-def _cut_one(text, found) -> dict:
+def _cut_one(text: str, found: list[dict]) -> dict:
     data = _bytes(text)
     ends = [0, *boundaries(data).tolist()]
     kept, at, spans, ids = [], 0, [], set()

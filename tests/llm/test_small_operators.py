@@ -74,11 +74,19 @@ def test_passages_are_cut(spark):
 
 def test_chunks_resist_insertions():
     r = random.Random(3)
-    data = " ".join(words(r, 2000)).encode()
-    other = data[:5000] + b"inserted " + data[5000:]
-    a, b = (set(substring_dedup.digests(x, substring_dedup.boundaries(x))[0]) for x in (data, other))
-    assert len(a - b) <= 3
-    for x in (b"", b" ", b"a" * 5000, "é".encode() * 3000, data):
+    spaced = " ".join(words(r, 2000)).encode()
+    unspaced = "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(6000)).encode()
+    window = substring_dedup.window_of(30)
+
+    def of(data):
+        return set(substring_dedup.chunks(substring_dedup.digests(data, substring_dedup.boundaries(data))[0], window)[0].tolist())
+
+    for data, more in ((spaced, b"inserted two "), (unspaced, "一二".encode())):
+        for at in (3000, 6000, 9000):
+            at = data.index(b" ", at) + 1 if data is spaced else at
+            a, b = of(data), of(data[:at] + more + data[at:])
+            assert len(a) > 100 and len(a - b) <= 4 and len(b - a) <= 4
+    for x in (b"", b" ", b"a" * 5000, "é".encode() * 3000, spaced, unspaced):
         ends = substring_dedup.boundaries(x)
         assert (list(ends[-1:]) or [0]) == [len(x)] and (np.diff(ends, prepend=0) > 0).all()
         start = 0
@@ -87,6 +95,79 @@ def test_chunks_resist_insertions():
             start = e
 
 
+def test_every_window_has_a_boundary():
+    r = np.random.default_rng(4)
+    for n in (0, 1, 5, 16, 17, 200, 3000):
+        found = r.integers(0, 1 << 63, n, np.uint64) << np.uint64(1)
+        for window in (1, 2, 13):
+            digest, begins = substring_dedup.chunks(found, window)
+            assert len(digest) == len(begins) == len(set(begins.tolist())) and (n == 0 or begins[0] == 0)
+            if n >= 4 + window:
+                assert np.diff(begins[1:], append=n).max(initial=0) <= window + 1
+
+
+def plain_repeats(rows, k=16, least=30):
+    """Texts with every run of repeated grams cut, word by word."""
+    held = {i: (t or "").split() for i, t in rows}
+    where = {}
+    for i in sorted(held):
+        for at in range(len(held[i]) - k + 1):
+            where.setdefault(tuple(held[i][at : at + k]), (i, at))
+    out = {}
+    for i, w in held.items():
+        hit = [where[tuple(w[at : at + k])] != (i, at) for at in range(len(w) - k + 1)] + [False]
+        cut, start = [False] * len(w), None
+        for at, x in enumerate(hit):
+            if x and start is None:
+                start = at
+            elif not x and start is not None:
+                if at - 1 + k - start >= least:
+                    cut[start : at - 1 + k] = [True] * (at - 1 + k - start)
+                start = None
+        out[i] = [x for x, c in zip(w, cut, strict=True) if not c]
+    return out
+
+
+def test_same_cuts_as_comparing_every_word(spark):
+    r, rows = random.Random(14), []
+    for i in range(150):
+        parts = [" ".join(words(r, r.randrange(5, 60)))]
+        for _ in range(r.randrange(3)):
+            if rows and r.random() < 0.8:
+                w = r.choice(rows)[1].split()
+                at, n = r.randrange(max(1, len(w) - 20)), r.choice([12, 29, 30, 31, 33, 50, 51, 52, 55, 70, 400])
+                parts.append(r.choice([" ", "\n", "  "]).join(w[at : at + n]))
+            parts.append(" ".join(words(r, r.randrange(1, 40))))
+        rows.append((i, " ".join(parts)))
+    rows += [(200, rows[3][1]), (201, rows[3][1] + " x"), (202, rows[5][1] * 2), (203, "one word " * 60), (204, "short text"), (205, "short text"), (206, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x for x in substring_dedup.dedup_substrings(docs).collect()}
+    want = plain_repeats(rows)
+    assert {i: (x.text or "").split() for i, x in got.items()} == want
+    assert sum(len(w) != len((t or "").split()) for (_, t), w in zip(rows, want.values(), strict=True)) > 40
+    for i, t in rows:
+        data = (t or "").encode()
+        kept, at = [], 0
+        for x in got[i].removed_spans:
+            kept.append(data[at : x.start])
+            at = x.end
+        assert b"".join([*kept, data[at:]]).decode() == (got[i].text or "") and sum(x.end - x.start for x in got[i].removed_spans) == got[i].removed_bytes
+
+
+def test_dedup_keeps_rows_and_columns(spark):
+    r = random.Random(15)
+    text = " ".join(words(r, 50))
+    rows = [(1, text), (1, text), (1, text + " " + text), (None, text), (2, None), (2, text), (2, ""), (3, "long " + text * 300)]
+    docs = spark.createDataFrame([(i, t, "a", [1], n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, _row string, _hash array<int>, removed_bytes int")
+    got = substring_dedup.dedup_substrings(docs, into=("spans", "cut", "firsts"))
+    assert got.columns == [*docs.columns, "spans", "cut", "firsts"]
+    held = {x.removed_bytes: x for x in got.collect()}
+    assert [held[n].text for n in range(2)] == [text, text] and held[2].text.split() == text.split() and held[3].text == "" and held[3].firsts == [1]
+    assert held[4].text is None and held[5].text == "" and held[6].text == "" and len(held[7].text) < 200
+    with __import__("pytest").raises(ValueError, match="at least"):
+        substring_dedup.dedup_substrings(docs, min_words=4)
+
+
 def test_nearest_vectors(spark):
     r = np.random.default_rng(5)
     x = np.concatenate([r.normal(0, 1, (600, 10)), np.tile(r.normal(0, 1, (1, 10)), (50, 1))])
