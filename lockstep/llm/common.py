@@ -74,12 +74,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def map_texts(df: DataFrame, keep: list[str], text: str, schema: str, make, piece: int = 4 << 20, also: tuple[str, ...] = ()) -> DataFrame:
+def map_texts(df: DataFrame, keep: list[str], text: str, schema: str, make, piece: int = 4 << 20, also: tuple[str, ...] = (), size=len) -> DataFrame:
     """Columns ``keep`` beside what a function makes of each text.
 
     ``make()`` runs once in a task and returns f(texts, ...) -> one list for each column of ``schema`` (a DDL
     string without ``keep``); it gets lists of the columns ``also``, too. Texts reach f whole, null as null, in
-    lists of about ``piece`` bytes, so that a task holds little at a time whatever the lengths. Bytes that
+    lists of about ``piece`` bytes by ``size`` of each, so that a task holds little at a time whatever the lengths. Bytes that
     aren't UTF-8 are read as replacement characters. A name of ``schema`` that is in ``keep`` is an error.
     """
     import pyarrow as pa
@@ -106,7 +106,7 @@ def map_texts(df: DataFrame, keep: list[str], text: str, schema: str, make, piec
                 read = lambda x: x
             for i in range(batch.num_rows):
                 held.append(value := read(column[i].as_py()))
-                n += len(value or "") + 64
+                n += (size(value) if value else 0) + 64
                 if n >= piece or i + 1 == batch.num_rows:
                     more = [batch.column(first + 1 + j).slice(start, len(held)).to_pylist() for j in range(len(also))]
                     columns = [batch.column(j).slice(start, len(held)) for j in range(first)]

@@ -17,9 +17,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import map_texts, table, written
 
-BLOCK, PARTS, RATE, UNIT, LANES = 1024, 2, 8000, 64, 2048
+BLOCK, PARTS, RATE, UNIT, LANES = 1024, 2, 8000, 64, 1024
 LPC_BITS, LPC_SHIFT = 8, 6
 
 
@@ -352,16 +352,18 @@ def decode_blocks(streams: list[bytes]) -> list[list[tuple[int, int, bytes]]]:
 
 def decode(streams: list[bytes]) -> list[bytes]:
     """The payloads of streams; frame checks, lengths and MD5 must hold."""
-    out = []
-    for media, blocks in zip(streams, decode_blocks(streams), strict=True):
-        payload = b"".join(b for _, _, b in blocks)
-        _, _, samples, md5 = seek_points(media)
-        if len(payload) != samples or hashlib.md5((np.frombuffer(payload, np.uint8) ^ 0x80).tobytes()).digest() != md5:
-            raise ValueError("the samples don't match STREAMINFO")
-        out.append(payload)
+    out = [b"".join(b for _, _, b in blocks) for blocks in decode_blocks(streams)]
+    for media, payload in zip(streams, out, strict=True):
+        _check(media, payload)
     return out
 
 
+def _check(media: bytes, payload: bytes) -> None:
+    _, _, samples, md5 = seek_points(media)
+    if len(payload) != samples or hashlib.md5((np.frombuffer(payload, np.uint8) ^ 0x80).tobytes()).digest() != md5:
+        raise ValueError("the samples don't match STREAMINFO")
+
+
 def read_range(media: bytes, start: int, n: int) -> bytes:
     """Payload bytes start to start + n, from the frames that hold them alone."""
     points, end, _, _ = seek_points(media)
@@ -408,19 +410,29 @@ def with_media(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
     return map_texts(docs, keep, text, "n_bytes long, media binary", make)
 
 
+BLOCKS = "blocks array<struct<sample_offset:bigint,byte_offset:bigint,n_samples:int,pcm:binary>>"
+
+
+def _block_rows(blocks: list[tuple[int, int, bytes]]) -> list[dict]:
+    return [{"sample_offset": s, "byte_offset": a, "n_samples": len(b), "pcm": b} for s, a, b in blocks]
+
+
 def pcm_blocks(streams: DataFrame, keep: list[str], media: str = "media") -> DataFrame:
     """A row for each block of each stream: ``keep``, sample_offset, byte_offset (of its frame in the
     stream), n_samples and pcm (unsigned 8-bit). A null stream gives no row."""
 
     def make():
         def run(held):
-            filled = [m for m in held if m is not None]
-            got = iter(decode_blocks(filled))
-            return ([[{"sample_offset": s, "byte_offset": a, "n_samples": len(b), "pcm": b} for s, a, b in next(got)] if m is not None else [] for m in held],)
+            got = iter(decode_blocks([m for m in held if m is not None]))
+            return ([_block_rows(next(got)) if m is not None else [] for m in held],)
 
         return run
 
-    rows = map_texts(streams, keep, media, "blocks array<struct<sample_offset:long,byte_offset:long,n_samples:long,pcm:binary>>", make)
+    return block_rows(map_texts(streams, keep, media, BLOCKS, make), keep)
+
+
+def block_rows(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """A row for each block of rows with blocks."""
     return rows.select(*keep, F.explode("blocks").alias("_b")).select(*keep, "_b.*")
 
 
@@ -430,24 +442,53 @@ def write_pcm_blocks(streams: DataFrame, key: str, path: str) -> None:
     pcm_blocks(streams, [key]).sortWithinPartitions(key, "sample_offset").write.parquet(path)
 
 
-def media_digests(streams: DataFrame, keep: list[str], media: str = "media") -> DataFrame:
-    """``keep`` with the figures of op2, from the decoded bytes."""
+def stored_blocks(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` with n_bytes, media_bytes and media_sha256 of each text's FLAC stream, and blocks: the PCM blocks
+    decoded from the stream, after its frame checks and its MD5 held, each with its sample offset and the byte
+    offset of its frame. Written to the shared folder and read back.
+
+    Null and empty texts give 64 zero bytes. Equal texts give equal streams and blocks."""
+
+    def make():
+        def run(texts):
+            made = [padded(t) for t in texts]
+            media = encode([p for _, p in made])
+            blocks = decode_blocks(media)
+            for m, b in zip(media, blocks, strict=True):
+                _check(m, b"".join(x for _, _, x in b))
+            return [n for n, _ in made], [len(m) for m in media], [hashlib.sha256(m).hexdigest() for m in media], [_block_rows(b) for b in blocks]
+
+        return run
+
+    return written(map_texts(docs, keep, text, f"n_bytes long, media_bytes long, media_sha256 string, {BLOCKS}", make, 2 << 20), "pcm")
+
+
+def block_digests(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` with the figures of op2, from stored blocks in the order of their sample offsets."""
 
     def make():
         def run(held):
-            rows = []
-            for m, p in zip(held, decode(held), strict=True):
-                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), feature(p)))
-            return list(zip(*rows, strict=True))
+            out = []
+            for blocks in held:
+                blocks = sorted(blocks, key=lambda b: b["sample_offset"])
+                p = b"".join(b["pcm"] for b in blocks)
+                if np.any(np.cumsum([0, *(b["n_samples"] for b in blocks)])[:-1] != [b["sample_offset"] for b in blocks]):
+                    raise ValueError("blocks don't follow each other")
+                out.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), feature(p)))
+            return list(zip(*out, strict=True))
 
         return run
 
-    return map_texts(streams, keep, media, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", make)
+    made = "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
+    return map_texts(rows, keep, "blocks", made, make, size=lambda blocks: BLOCK * len(blocks))
 
 
 def op2_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return media_digests(with_media(docs, ["doc_id"]), ["doc_id", "n_bytes"])
+    rows = stored_blocks(docs, ["doc_id"])
+    return block_digests(rows, ["doc_id", "n_bytes", "media_bytes", "media_sha256"]).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
+    )
 
 
 QUERIES = {"op2_flac_media": op2_flac_media}

@@ -264,16 +264,16 @@ def held_out(doc_id: str):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
 
-def score_toxicity(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` with score (0 to 1). Null, empty and wordless texts get the score of the model's base. A column
-    ``score`` in ``keep`` is replaced. An empty table gives an empty result."""
+def score_toxicity(docs: DataFrame, model: Model, keep: list[str], text: str = "text", into: str = "score") -> DataFrame:
+    """``keep`` with a score (0 to 1) by the name ``into``, whose column in ``keep`` it replaces. Null, empty and
+    wordless texts get the score of the model's base. An empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(model.margins())  # BUCKETS numbers: fixed size
 
     def make():
         scorer = Scorer(*shared.value)
         return lambda texts: (scorer.scores(texts),)
 
-    return map_texts(docs, [c for c in keep if c != "score"], text, "score double", make)
+    return map_texts(docs, [c for c in keep if c != into], text, f"`{into}` double", make)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import corpus_pipeline as pipeline
 
 
@@ -35,3 +37,46 @@ def test_stages(spark, tmp_path):
     assert len(text[404].text) < 0.6 * len(dict(rows)[404]) and text[404].n_chars == len(text[404].text)
     assert text[403].text == dict(rows)[403]
     assert pipeline.run(spark, str(tmp_path)).count() == len(left[3])
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    r = random.Random(8)
+    rows = [(i, " ".join([*(f"w{r.randrange(10**5)}" for _ in range(40)), "blarg" if i % 2 else "fine"])) for i in range(120)]
+    spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return rows, str(tmp_path)
+
+
+def through(spark, docs, sf_dir):
+    out = []
+    for name, stage in pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+        docs.write.parquet(f"{sf_dir}/odd-{name}")
+        docs = spark.read.parquet(f"{sf_dir}/odd-{name}")
+        out.append(docs)
+    return out
+
+
+def test_repeated_ids_nulls_and_clashing_columns(spark, tables):
+    rows, sf_dir = tables
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    odd = [(901, a), (902, a), (902, b), (903, c), (903, c), (None, c + " end"), (904, None), (904, ""), (905, " \t\n"), (None, None), (906, " ".join(b.split()[:35]) + "\n\t" + " ".join(c.split()[:35]))]
+    held = [(i, t, 1.5, "s", "x", n) for n, (i, t) in enumerate([*[x for x in rows if x[0] % 2 == 0], *odd])]
+    docs = spark.createDataFrame(held, "doc_id long, text string, score double, _row string, first_ids string, n long")
+    tox, near, cut, packed = through(spark, docs, sf_dir)
+    first = len(rows) // 2
+    assert all(x.columns == docs.columns for x in (tox, near, cut))
+    assert {x.n for x in tox.collect()} >= set(range(first, first + len(odd)))
+    kept = sorted(x.n - first for x in near.collect() if x.n >= first)
+    # Of (901, a), (902, a) the first stays; (902, b) stays; of two equal rows one; null texts and white space stay.
+    assert kept in ([0, 2, 3, 6, 7, 8, 9, 10], [0, 2, 4, 6, 7, 8, 9, 10])
+    texts = {x.n - first: x.text for x in cut.collect()}
+    # 906 is a part of b and one of c: nothing but white space is left of it, so it goes.
+    assert set(kept) - {10} == {n for n in texts if n >= 0} and texts[2] == b and texts[8] == " \t\n" and texts[6] is None
+    assert packed.count() == cut.count()
+
+
+def test_a_table_without_rows(spark, tables):
+    rows, sf_dir = tables
+    docs = spark.createDataFrame(rows, "doc_id long, text string").limit(0)
+    assert [x.count() for x in through(spark, docs, sf_dir)] == [0, 0, 0, 0]
