@@ -1,7 +1,9 @@
 """Corpus pipeline: toxicity filter, near-duplicate removal, substring dedup, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps; a stage's rows are written as Parquet
-and read back as the next one's docs. The first three return the columns of ``documents``.
+and read back as the next one's docs. The first three return the columns of ``docs``, whatever they are; doc_id,
+text and (where it is there) n_chars are the ones that they know. Rows are told apart by id and text, so rows
+that share an id are judged each on its own.
 """
 
 from __future__ import annotations
@@ -9,36 +11,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lockstep.llm.common import table, written
-from lockstep.llm.jaccard_join import link_components
+from lockstep.llm.common import free_name, quoted, table, written
+from lockstep.llm.jaccard_join import one_of_each
 from lockstep.llm.packing import pack
 from lockstep.llm.substring_dedup import dedup_substrings
 from lockstep.llm.toxicity import THRESHOLD, fit, score_toxicity
 
+#: Signatures of a set in a size range in the near-duplicate stage; a longer set's are a sample of so many.
+PARTS = 72
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under the threshold; the model learns from the rows of ``docs`` with a label."""
+    """Documents that score under the threshold; the model learns from the rows of ``docs`` with a label.
+
+    Null, empty and wordless texts get the score of the model without any word, about a half."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model, docs.columns).filter(F.col("score") < THRESHOLD).select(docs.columns)
+    score = free_name(docs, "score")
+    scored = score_toxicity(docs, model, docs.columns, into=score)
+    return scored.filter(F.col(score) < THRESHOLD).select(*map(quoted, docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of five-word shingle sets at a similarity of 0.8: that of least id.
-
-    Documents without words are linked with nothing and stay, as do those without an id."""
-    linked = link_components(docs, k=5, t=(4, 5)).filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(linked, "doc_id", "left_anti").select(docs.columns)
+    """One row of each component of five-word shingle sets at a similarity of 0.8: that of the least id, null ids
+    last. Exact copies that share an id are one, too. Rows without words are linked with nothing and stay."""
+    return one_of_each(docs, k=5, t=(4, 5), parts=PARTS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the runs of chunks that one of a smaller id, or they themselves before, hold.
-
-    One that is left without words goes; n_chars follows the text."""
-    cut = dedup_substrings(docs.select("doc_id", "text", "lang", "source", "n_chars"))
-    text = F.col("text")
-    kept = cut.filter((F.col("removed_bytes") == 0) | (F.length(F.trim(text)) > 0))
-    n = F.when(F.col("removed_bytes") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))
-    return kept.withColumn("n_chars", n).select(docs.columns)
+    """Documents without the passages that one of a smaller id, or they themselves before, hold.
+
+    A text of which nothing but white space is left goes; n_chars follows the text."""
+    names = tuple(free_name(docs, n) for n in ("removed_spans", "removed_bytes", "first_ids"))
+    cut = dedup_substrings(docs, into=names)
+    touched, text = F.col(names[1]) > 0, F.col("text")
+    kept = cut.filter(~touched | text.rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        kept = kept.withColumn("n_chars", F.when(touched, F.length(text).cast(kind)).otherwise(F.col("n_chars")))
+    return kept.select(*map(quoted, docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
