@@ -91,10 +91,9 @@ def _range_of(n: int) -> int:
 
 
 @functools.cache
-def plan(r: int, t: tuple[int, int], parts: int | None = None) -> tuple[int, int, int, int]:
-    """(d, parts, parts in use, empty parts allowed) of size range r: d is the most that linked sets of it
-    differ in; the parts exceed d by one and by the empty parts allowed, so that some part agrees and is
-    not empty. Where that asks for more than ``parts``, so many of them serve as a sample."""
+def plan(r: int, t: tuple[int, int]) -> tuple[int, int, int]:
+    """(d, parts, empty parts allowed) of size range r: d is the most that linked sets of it differ in; the parts
+    exceed d by one and by the empty parts allowed, so that some part agrees and is not empty."""
     p, q = t
     low, top = RANGE**r, math.ceil(RANGE ** (r + 1))
     total = top + top * q // p
@@ -104,12 +103,10 @@ def plan(r: int, t: tuple[int, int], parts: int | None = None) -> tuple[int, int
         empty = k * math.exp(-low / k)
         spare = math.ceil(empty + 4 * math.sqrt(empty))
         k = d + 1 + spare
-    if parts is None or k <= parts:
-        return d, k, k, spare
-    return d, max(parts, math.ceil(top * (q - p) / q / 0.9)), parts, parts // 6
+    return d, k, spare
 
 
-def signatures(hashes: np.ndarray, t: tuple[int, int], parts: int | None = None) -> np.ndarray:
+def signatures(hashes: np.ndarray, t: tuple[int, int]) -> np.ndarray:
     """A set's signatures: digests of its parts that aren't empty; of a small set, which may differ by two
     shingles at most, digests of the whole and of what one or two shingles less leave."""
     n = len(hashes)
@@ -118,7 +115,7 @@ def signatures(hashes: np.ndarray, t: tuple[int, int], parts: int | None = None)
     mixed = mix(hashes ^ np.uint64(0x5851F42D4C957F2D))
     out = []
     for r in size_ranges(n, t):
-        d, k, used, spare = plan(r, t, parts)
+        d, k, spare = plan(r, t)
         salt = np.uint64((2 * r + 1) * int(MIX[0]) & (1 << 64) - 1)
         if d <= 2:
             whole = mixed.sum(dtype=np.uint64)
@@ -129,12 +126,10 @@ def signatures(hashes: np.ndarray, t: tuple[int, int], parts: int | None = None)
             out.append(mix(np.concatenate(less) + salt))
             continue
         part = ((hashes >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
-        stop = int(np.searchsorted(part, used))
-        starts = np.flatnonzero(np.diff(part[:stop], prepend=-1))
-        if len(starts):
-            sums = np.add.reduceat(mixed[:stop], starts)
-            out.append(mix(mix(sums + part[starts].astype(np.uint64)) + salt))
-        if used - len(starts) > spare:
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        sums = np.add.reduceat(mixed, starts)
+        out.append(mix(mix(sums + part[starts].astype(np.uint64)) + salt))
+        if k - len(starts) > spare:
             # So many empty parts that a partner may agree on these alone: such sets form a group.
             out.append(mix(np.array([r], np.uint64) + MIX[1]))
     return np.unique(np.concatenate(out))
@@ -147,7 +142,7 @@ def bitmap(hashes: np.ndarray) -> list[int]:
     return words.view(np.int64).tolist()
 
 
-def profiles(docs: DataFrame, keep: list[str], k: int, t: tuple[int, int], text: str = "text", parts: int | None = None) -> DataFrame:
+def profiles(docs: DataFrame, keep: list[str], k: int, t: tuple[int, int], text: str = "text") -> DataFrame:
     """``keep`` with n_shingles, node (a digest of the set; null for an empty one), check (a second one),
     and the set's signatures. Of rows of one node that a task meets the first alone has signatures, mostly:
     many copies give few."""
@@ -163,7 +158,7 @@ def profiles(docs: DataFrame, keep: list[str], k: int, t: tuple[int, int], text:
                     node, check = int(mix(h).sum(dtype=np.uint64)), int(mix(h + MIX[2]).sum(dtype=np.uint64))
                     again = met.get(node)
                     met.put(node, True)
-                    rows.append((len(h), _signed(node), _signed(check), [] if again else signatures(h, t, parts).view(np.int64)))
+                    rows.append((len(h), _signed(node), _signed(check), [] if again else signatures(h, t).view(np.int64)))
                 else:
                     rows.append((0, None, None, []))
             return list(zip(*rows, strict=True))
@@ -199,14 +194,15 @@ def shingle_sets(docs: DataFrame, keep: list[str], k: int, text: str = "text") -
     return map_texts(docs, keep, text, "shingles array<long>, bits array<long>", make).filter("shingles is not null")
 
 
-def meetings(marks: DataFrame) -> DataFrame:
+def meetings(marks: DataFrame, chain: bool = False) -> DataFrame:
     """(sig, a, b): pairs of nodes that hold one signature, enough to join all of its nodes; ``marks``: sig, node.
 
     Rows are dealt in the order of both, so a signature that very many nodes hold lies in many tasks; each
-    task links neighbours, and what stands at tasks' ends is linked afterwards."""
+    task links a signature's first node there with the others (or, as a ``chain``, each with the next), and
+    what stands at tasks' ends is linked afterwards."""
 
     def run(batches):
-        first = last = None
+        first = last = head = None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -214,9 +210,15 @@ def meetings(marks: DataFrame) -> DataFrame:
             first = (sig[0], node[0]) if first is None else first
             if last is not None:
                 sig, node = np.append(last[0], sig), np.append(last[1], node)
-            last = (sig[-1], node[-1])
-            own = np.flatnonzero((sig[1:] == sig[:-1]) & (node[1:] != node[:-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(sig[own]), pa.array(node[own]), pa.array(node[own + 1])], names=["sig", "a", "b"])
+            begins = np.append(True, sig[1:] != sig[:-1])
+            at = np.maximum.accumulate(np.where(begins, np.arange(len(sig)), 0))
+            heads = node[at]
+            if head is not None:
+                heads[at == 0] = head  # the signature of the batch before goes on
+            last, head = (sig[-1], node[-1]), heads[-1]
+            near = node[:-1] if chain else heads[1:]
+            own = np.flatnonzero(~begins[1:] & (node[1:] != near))
+            yield pa.RecordBatch.from_arrays([pa.array(sig[1:][own]), pa.array(near[own]), pa.array(node[1:][own])], names=["sig", "a", "b"])
         if first is not None:
             ends = [np.array([x[i] for x in (first, last)]) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1]), pa.nulls(2, pa.int64())], names=["sig", "a", "b"])
@@ -355,12 +357,12 @@ def _tree_links(t: tuple[int, int]):
     return run
 
 
-def linked(docs: DataFrame, id_col: str, k: int, t: tuple[int, int], text: str, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+def linked(docs: DataFrame, id_col: str, k: int, t: tuple[int, int], text: str) -> tuple[DataFrame, DataFrame]:
     """(rows, nodes): _id, _hash (of the text), n_shingles and node of each row, and for each node its root (that of
     its component), the least id in the component and _first, the row (whether its id is null, _id, _hash)
     that comes first in it."""
     base = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_t")).withColumn("_hash", F.xxhash64("_t"))
-    rows = written(profiles(base, ["_id", "_hash"], k, t, "_t", parts), "profiles")
+    rows = written(profiles(base, ["_id", "_hash"], k, t, "_t"), "profiles")
     # Copies become one node here, before anything is compared; each node keeps one row's place.
     nodes = written(rows.filter("node is not null").groupBy("node").agg(
         F.min("check").alias("_c"), F.max("check").alias("_d"), F.min("n_shingles").alias("n_shingles"),
@@ -415,7 +417,7 @@ def _across(sets: DataFrame, many: DataFrame, roots: DataFrame, t: tuple[int, in
     own = sets.filter("block <> 0").join(apart, "cluster", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     if neighbours:
         blocks = own.select(F.col("cluster").alias("sig"), F.col("block").alias("node")).distinct()
-        pairs = meetings(blocks).select(F.col("sig").alias("cluster"), F.least("a", "b").alias("bx"), F.greatest("a", "b").alias("by"))
+        pairs = meetings(blocks, chain=True).select(F.col("sig").alias("cluster"), F.least("a", "b").alias("bx"), F.greatest("a", "b").alias("by"))
     else:
         ones = F.aggregate("bits", F.lit(0), lambda n, x: n + F.bit_count(x))
         tops = own.groupBy("cluster", "block").agg(
@@ -435,28 +437,26 @@ def _across(sets: DataFrame, many: DataFrame, roots: DataFrame, t: tuple[int, in
     return own.join(sides, ["cluster", "block"]).select("cluster", "bx", "by", "side", "node", "root", "n_shingles", "bits", "shingles")
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", k: int = 3, t: tuple[int, int] = (9, 10), text: str = "text", parts: int | None = None) -> DataFrame:
+def link_components(docs: DataFrame, id_col: str = "doc_id", k: int = 3, t: tuple[int, int] = (9, 10), text: str = "text") -> DataFrame:
     """id_col, n_shingles and component_id of each row: the least id that links reach, its own included.
 
     Rows without words have an empty set and are linked with nothing. A null id takes part in links but
     names no component: component_id is null only where no id in it is known. Rows of one id with
     different texts are nodes of their own. Empty tables give an empty result; other columns aren't read.
-    ``parts``: of sets that would need more signatures than so many, in a size range, so many serve: a
-    pair of similarity t at 72 escapes with a chance of about 1e-12. None: every set has all it needs.
     """
-    rows, nodes = linked(docs, id_col, k, t, text, parts)
+    rows, nodes = linked(docs, id_col, k, t, text)
     some = rows.filter("node is not null").select("_id", "n_shingles", "node").join(nodes.select("node", F.col("_first._id").alias("component_id")), "node")
     none = rows.filter("node is null").select("_id", "n_shingles", F.col("_id").alias("component_id"))
     return some.select("_id", "n_shingles", "component_id").unionByName(none).withColumnRenamed("_id", id_col)
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", k: int = 5, t: tuple[int, int] = (4, 5), text: str = "text", parts: int | None = None) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", k: int = 5, t: tuple[int, int] = (4, 5), text: str = "text") -> DataFrame:
     """``docs``, all its columns, with one row of each component: that of the least id (null ids last), of its
     rows the one of the least text hash, and of rows that share id and text the one of the least hash.
 
     Rows without words, null texts among them, are linked with nothing and all stay. Other rows of a kept row's
     id stay or go by their own texts."""
-    rows, nodes = linked(docs, id_col, k, t, text, parts)
+    rows, nodes = linked(docs, id_col, k, t, text)
     some = rows.filter("node is not null").groupBy("_id", "_hash", "node").agg(F.count("*").alias("_n"))
     some = some.join(nodes.select("node", F.col("_first._id").alias("_i"), F.col("_first._hash").alias("_h")), "node")
     kept = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))

@@ -55,11 +55,11 @@ def corpus(seed, size=240):
     return rows
 
 
-@pytest.mark.parametrize(("k", "t", "parts"), [(3, (9, 10), None), (5, (4, 5), None), (5, (4, 5), 72)])
-def test_same_components_as_brute_force(spark, k, t, parts):
+@pytest.mark.parametrize(("k", "t"), [(3, (9, 10)), (5, (4, 5))])
+def test_same_components_as_brute_force(spark, k, t):
     rows = corpus(k)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = jj.link_components(docs, k=k, t=t, parts=parts).collect()
+    got = jj.link_components(docs, k=k, t=t).collect()
     assert sorted((tuple(r) for r in got), key=repr) == brute(rows, k, *t)
 
 
@@ -100,10 +100,11 @@ def test_a_group_of_thousands(spark):
     assert {(x.doc_id < 5000, x.component_id) for x in got} == {(True, 0), (False, 5000)} and len(got) == 5500
 
 
-def test_meetings_join_each_signature(spark):
+@pytest.mark.parametrize("chain", [False, True])
+def test_meetings_join_each_signature(spark, chain):
     r = random.Random(13)
     held = [(r.randrange(40), r.randrange(300)) for _ in range(1500)] + [(99, i) for i in range(2000)] + [(98, 7)] * 50
-    pairs = jj.meetings(spark.createDataFrame(held, "sig long, node long").repartition(7)).collect()
+    pairs = jj.meetings(spark.createDataFrame(held, "sig long, node long").repartition(7), chain).collect()
     for sig in range(100):
         nodes = {n for s, n in held if s == sig}
         label = {n: n for n in nodes}
