@@ -17,9 +17,6 @@ from lockstep.llm.packing import pack
 from lockstep.llm.substring_dedup import dedup_substrings
 from lockstep.llm.toxicity import THRESHOLD, fit, score_toxicity
 
-#: Signatures of a set in a size range in the near-duplicate stage; a longer set's are a sample of so many.
-PARTS = 72
-
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under the threshold; the model learns from the rows of ``docs`` with a label.
@@ -34,7 +31,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of five-word shingle sets at a similarity of 0.8: that of the least id, null ids
     last. Exact copies that share an id are one, too. Rows without words are linked with nothing and stay."""
-    return one_of_each(docs, k=5, t=(4, 5), parts=PARTS)
+    return one_of_each(docs, k=5, t=(4, 5))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
