@@ -2,7 +2,8 @@
 
 The histogram of lengths over all rows goes to a dynamic programme that chooses the bucket bounds with
 the least padding in all; each row is padded to its bucket's bound. Within a bucket rows are numbered in
-a hashed order and each batch takes as many as the budget holds.
+a hashed order and each batch takes as many as the budget holds. A row's length is any whole number, such as
+the tokens that an encoder counted; words where none is given.
 """
 
 from __future__ import annotations
@@ -11,9 +12,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered, table
+from .common import numbered, quoted, table, written
 
-BUCKETS, BUDGET, LONGEST = 12, 65_536, 32_768
+BUCKETS, BUDGET = 12, 65_536
 
 
 def word_count(text: str = "text") -> Column:
@@ -26,7 +27,7 @@ def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[i
     sum of count * (bound - length). ``lengths`` ascending and distinct.
 
     best[j] for k buckets is the least over i of best'[i] + cost(i, j); the cost is Monge, so the best i
-    never falls as j grows, and each layer is solved by halving."""
+    never falls as j grows, and each layer is solved by halving, whatever the number of lengths."""
     m = len(lengths)
     if not m:
         return []
@@ -35,24 +36,10 @@ def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[i
     best = lengths * n[1:] - total[1:]
     choice = []
     for _ in range(min(buckets, m) - 1):
-        now, came = best.copy(), np.full(m, -1)
-        work = [(0, m - 1, 0, m - 1)]
-        while work:
-            a, b, low, high = work.pop()
-            if a > b:
-                continue
-            j = (a + b) // 2
-            i = np.arange(low, min(high, j - 1) + 1)
-            at = low
-            if len(i):
-                cost = best[i] + lengths[j] * (n[j + 1] - n[i + 1]) - (total[j + 1] - total[i + 1])
-                k = int(np.argmin(cost))
-                at = int(i[k])
-                if cost[k] < now[j]:
-                    now[j], came[j] = cost[k], at
-            work += [(a, j - 1, low, at), (j + 1, b, at, high)]
-        best = now
-        choice.append(came)
+        cost, at = _layer(best, lengths, n, total)
+        better = cost < best
+        choice.append(np.where(better, at, -1))
+        best = np.where(better, cost, best)
     out, j = [int(lengths[-1])], m - 1
     for came in reversed(choice):
         if came[j] >= 0:
@@ -61,31 +48,57 @@ def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[i
     return sorted(set(out))
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET, longest: int = LONGEST) -> DataFrame:
+def _layer(best: np.ndarray, lengths: np.ndarray, n: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each j the least best[i] + cost(i, j) over i < j, and its i. All midpoints of a level at once: each
+    has for bounds the choices of its neighbours in the levels before, so a level looks at 2m places at most."""
+    m = len(best)
+    cost, at = np.full(m, np.iinfo(np.int64).max), np.zeros(m, np.int64)
+    step = 1 << int(m).bit_length()
+    while step > 1:
+        j = np.arange(step // 2 - 1, m, step)
+        left, right = j - step // 2, j + step // 2
+        low = np.where(left >= 0, at[np.maximum(left, 0)], 0)
+        high = np.minimum(np.where(right < m, at[np.minimum(right, m - 1)], m - 1), j - 1)
+        some = high >= low
+        at[j[~some]] = low[~some]
+        j, low, size = j[some], low[some], (high - low + 1)[some]
+        if len(j):
+            starts = np.cumsum(size) - size
+            i = np.arange(size.sum()) - np.repeat(starts - low, size)
+            to = np.repeat(j, size)
+            value = best[i] + lengths[to] * (n[to + 1] - n[i + 1]) - (total[to + 1] - total[i + 1])
+            cost[j] = np.minimum.reduceat(value, starts)
+            # The first place of the least value in each range.
+            hit = np.flatnonzero(value == np.repeat(cost[j], size))
+            at[j] = i[hit[np.searchsorted(hit, starts)]]
+        step //= 2
+    return cost, at
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """id_col with n_tokens, bucket (from 0), padded_to, batch (from 0 in a bucket), slot (from 0 in a
     batch) and padding.
 
-    Rows longer than ``longest`` go to bucket -1: each is a batch of its own without padding, so the
-    histogram has longest + 1 rows at most whatever the table. Other batches hold budget div padded_to rows,
-    one at least (with a bound of 0 the budget itself); only the last of a bucket may hold fewer. Null texts
-    have length 0. Rows equal in id and length are told apart by number alone. A null id is an id like
-    others. An empty table gives an empty result.
+    ``length``: a column of whole numbers from 0; null counts as 0, as do null texts. A batch holds budget div
+    padded_to rows, one at least (with a bound of 0 the budget itself), so only a row that is padded to
+    more than the budget has a batch over it; only the last batch of a bucket may hold fewer. What comes to the
+    driver is a count for each distinct length. Rows equal in id and length are told apart by number alone. A
+    null id is an id like others. An empty table gives an empty result; other columns aren't read.
     """
     n = length if length is not None else word_count()
-    rows = docs.select(F.col(id_col).alias("_id"), n.alias("n_tokens"))
-    histogram = sorted(tuple(r) for r in rows.filter(F.col("n_tokens") <= longest).groupBy("n_tokens").count().collect())
+    # Lengths are worked out once; both passes read these.
+    rows = written(docs.select(quoted(id_col).alias("_id"), F.coalesce(n.cast("long"), F.lit(0)).alias("n_tokens")), "lengths")
+    histogram = sorted(tuple(r) for r in rows.groupBy("n_tokens").count().collect())
     lengths, counts = (np.array([r[k] for r in histogram], np.int64) for k in (0, 1))
     bounds = best_bounds(lengths, counts, buckets)
-    bucket = F.lit(-1)
+    bucket = F.lit(None)
     for k in reversed(range(len(bounds))):
         bucket = F.when(F.col("n_tokens") <= bounds[k], k).otherwise(bucket)
     placed = rows.withColumn("bucket", bucket.cast("int"))
     counted, _ = numbered(placed, ["_id", "n_tokens"], within="bucket", name="_n")
-    known = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array(F.lit(0))
-    padded = F.when(F.col("bucket") < 0, F.col("n_tokens")).otherwise(F.get(known, F.col("bucket")).cast("long"))
-    out = counted.withColumn("padded_to", padded)
-    rows_of = F.when(F.col("bucket") < 0, F.lit(1)).otherwise(F.greatest(F.lit(1), F.expr(f"{budget} div greatest(padded_to, 1)")))
-    out = out.withColumn("_rows", rows_of.cast("long"))
+    known = F.array(*[F.lit(b) for b in bounds or [0]])
+    out = counted.withColumn("padded_to", F.get(known, F.col("bucket")).cast("long"))
+    out = out.withColumn("_rows", F.greatest(F.lit(1), F.expr(f"{budget} div greatest(padded_to, 1)")).cast("long"))
     return out.select(
         F.col("_id").alias(id_col), "n_tokens", "bucket", "padded_to", F.expr("_n div _rows").alias("batch"),
         F.expr("_n % _rows").alias("slot"), (F.col("padded_to") - F.col("n_tokens")).alias("padding"),
