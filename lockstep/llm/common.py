@@ -22,7 +22,11 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def numbered(df: DataFrame, order: list[str], within: str | None = None, buckets: int = 1024,
+#: Rows that one task sorts when rows are numbered, on average.
+BUCKET_ROWS = 100_000
+
+
+def numbered(df: DataFrame, order: list[str], within: str | None = None, buckets: int | None = None,
              name: str = "row_number") -> tuple[DataFrame, DataFrame]:
     """``df`` with a gapless number from 0 in each value of ``within`` (or overall), and the sizes of
     those groups (group columns and ``group_rows``).
@@ -31,15 +35,15 @@ def numbered(df: DataFrame, order: list[str], within: str | None = None, buckets
     the buckets before it. So no task sorts more than one bucket of a group, however large the group,
     and a number depends on the rows alone, not on how they lie in partitions. Rows equal in ``order``
     are counted first and get a run of numbers, dealt out in pieces, so copies of one row don't meet in
-    one task. Only columns in ``order`` and ``within`` are kept.
+    one task. Only columns in ``order`` and ``within`` are kept. ``buckets``: one for each BUCKET_ROWS distinct
+    rows, if not given.
     """
     group = [within] if within else []
     keys = list(dict.fromkeys([*group, *order]))
-    counted = (
-        df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-        .groupBy("_bucket", *keys).agg(F.count("*").alias("_copies"))
-    )
-    counted = written(counted, "numbered")
+    counted = written(df.groupBy(*keys).agg(F.count("*").alias("_copies")), "numbered")
+    if buckets is None:
+        buckets = max(32, -(-counted.count() // BUCKET_ROWS))
+    counted = counted.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     sizes = counted.groupBy(*group, "_bucket").agg(F.sum("_copies").alias("_rows"))
     upto = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_rows").over(upto), F.lit(0)))

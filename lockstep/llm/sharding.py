@@ -68,13 +68,15 @@ def restore(places: np.ndarray, n: int, seed: int) -> np.ndarray:
     return _walk(places.astype(np.uint64), n, step).astype(np.int64)
 
 
-def shard_rows(df: DataFrame, order: list[str], shards: int, seed: int = 42, buckets: int = 1024) -> DataFrame:
+def shard_rows(df: DataFrame, order: list[str], shards: int, seed: int = 42, buckets: int | None = None) -> DataFrame:
     """Columns ``order`` with row_number, shard and slot.
 
     Row numbers follow the hash bucket and then the values of ``order``, so they depend on the rows and
     not on partitions. Rows equal in ``order`` get numbers of their own. Nulls are values like others; an
-    empty table gives an empty result. Columns row_number, shard and slot must not be in ``order``.
+    empty table gives an empty result. Columns row_number, shard and slot in ``order`` are an error.
     """
+    if clash := {"row_number", "shard", "slot"} & set(order):
+        raise ValueError(f"columns by the names of new ones: {sorted(clash)}")
     rows, totals = numbered(df.select(*order), order, buckets=buckets)
     n = totals.agg(F.sum("group_rows")).first()[0] or 0
 
