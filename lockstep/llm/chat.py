@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 #: Turns of a stretch that is numbered and rendered together.
 STRETCH = 1024
@@ -19,22 +19,23 @@ STRETCH = 1024
 def placed_turns(turns: DataFrame) -> DataFrame:
     """conv_id, role, text and place (from 0): turns ordered by turn (nulls last), role, text.
 
-    Stretches of turn numbers are counted first, so a conversation of any length is numbered by many tasks.
-    """
-    rows = turns.select("conv_id", "turn", "role", "text").filter("conv_id is not null")
-    rows = rows.withColumn("_s", F.coalesce(F.expr(f"turn div {STRETCH}"), F.lit((1 << 63) - 1)))
-    sizes = rows.groupBy("conv_id", "_s").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("conv_id").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("conv_id", "_s", "_first")
-    inside = Window.partitionBy("conv_id", "_s").orderBy(*[F.col(c).asc_nulls_last() for c in ("turn", "role", "text")])
-    ranked = rows.withColumn("_k", F.row_number().over(inside) - 1)
-    return ranked.join(starts, ["conv_id", "_s"]).select("conv_id", (F.col("_first") + F.col("_k")).alias("place"), "role", "text")
+    Rows are dealt in this order, so a conversation of any length lies in many tasks; a row's place is its place
+    in its task and the rows of the conversation in the tasks before. Written to the shared folder."""
+    order = [F.col(c).asc_nulls_last() for c in ("conv_id", "turn", "role", "text")]
+    dealt = turns.select("conv_id", "turn", "role", "text").filter("conv_id is not null").repartitionByRange(*order).sortWithinPartitions(*order)
+    # The task's number, then the row's in it.
+    rows = written(dealt.withColumn("_n", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_n", 33)), "turns")
+    sizes = rows.groupBy("conv_id", "_task").agg(F.min("_n").alias("_first"), F.count("*").alias("_rows"))
+    before = Window.partitionBy("conv_id").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("conv_id", "_task", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_start"))
+    return written(rows.join(starts, ["conv_id", "_task"]).select("conv_id", (F.col("_n") + F.col("_start")).alias("place"), "role", "text"), "placed")
 
 
 def prefix_hashes(placed: DataFrame) -> DataFrame:
-    """conv_id, place and the rolling hashes h1, h2 of the turns up to each place."""
-    one = [F.xxhash64(F.lit(seed), "place", F.coalesce("role", F.lit("\0")), F.coalesce("text", F.lit("\0"))) for seed in (11, 13)]
-    rows = placed.withColumns({"_a": one[0], "_b": one[1], "_s": F.expr(f"place div {STRETCH}")})
+    """conv_id, place and the rolling hashes h1, h2 of the turns up to each place. Stretches of places are rolled
+    apart and start from the sums of the stretches before."""
+    one = [F.xxhash64(F.lit(seed), "place", F.col("role").isNull(), "role", F.col("text").isNull(), "text") for seed in (11, 13)]
+    rows = placed.select("conv_id", "place", one[0].alias("_a"), one[1].alias("_b"), F.expr(f"place div {STRETCH}").alias("_s"))
     sums = rows.groupBy("conv_id", "_s").agg(F.bit_xor("_a").alias("_x"), F.bit_xor("_b").alias("_y"))
     before = Window.partitionBy("conv_id").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("conv_id", "_s", *[F.coalesce(F.bit_xor(c).over(before), F.lit(0)).alias(n) for c, n in (("_x", "_p"), ("_y", "_q"))])
@@ -48,7 +49,7 @@ def prefix_hashes(placed: DataFrame) -> DataFrame:
 def maximal(placed: DataFrame) -> DataFrame:
     """conv_id and n_turns of the conversations that are no proper prefix of another and, of equal ones,
     have the least conv_id."""
-    hashes = prefix_hashes(placed)
+    hashes = written(prefix_hashes(placed), "prefixes")
     ends = hashes.groupBy("conv_id").agg(F.max(F.struct("place", "h1", "h2")).alias("_e"))
     whole = ends.groupBy(F.col("_e.place").alias("place"), F.col("_e.h1").alias("h1"), F.col("_e.h2").alias("h2")).agg(F.min("conv_id").alias("conv_id"))
     last = ends.select("conv_id", F.col("_e.place").alias("_last"))
@@ -65,7 +66,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
     A part holds up to STRETCH turns, so a usual conversation has the part 0 alone and no task gathers an
     unbounded one. Repeated turn rows are turns of their own. Null roles and texts are rendered empty, yet
-    differ from empty ones in comparison. Rows without a conv_id go. An empty table gives an empty result;
+    differ from all others in comparison. Rows without a conv_id go. An empty table gives an empty result;
     other columns of ``turns`` are not read.
     """
     placed = placed_turns(turns)
