@@ -14,7 +14,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, table, written
 
 RULES = [
     ("block", "com", "/en/"),
@@ -68,15 +68,15 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     fit only rules without a host. Empty tables give empty results. Columns of ``pages`` by the names
     of the four new ones are replaced.
     """
-    spark = pages.sparkSession
     host, path = url_parts(F.col(url))
     named = pages.drop(*[c for c in ("host", "path", "rule", "verdict") if c != url])
     compiled = F.udf(lambda h, p: compile_rule(h, p), "pattern string, tokens array<string>")
     held = rules.select("action", "host", "path").dropna().dropDuplicates()
-    held = held.withColumn("_c", compiled("host", "path")).select(
+    # Each rule is compiled once; what follows reads the result.
+    held = written(held.withColumn("_c", compiled("host", "path")).select(
         "action", F.concat("host", "path").alias("rule"), F.length("host").alias("host_length"),
         F.col("_c.pattern").alias("pattern"), F.col("_c.tokens").alias("tokens"),
-    )
+    ), "rules")
     urls = named.select(F.col(url).alias("_url")).distinct().withColumns(dict(zip(("_host", "_path"), url_parts(F.col("_url")), strict=True)))
     spread = urls.select("_url", F.concat("_host", "_path").alias("_target"), F.explode(_tokens(F.col("_host"), F.col("_path"))).alias("token"))
 
