@@ -43,6 +43,18 @@ def test_equal_conversations_keep_the_least(spark):
     assert [x.conv_id for x in chat.format_chats(turns).collect()] == [3]
 
 
+def test_one_turn_number_and_long_conversations(spark):
+    texts = [f"t{i:04d}" for i in range(3000)]
+    rows = [(1, None, "user", t) for t in texts] + [(2, None, "user", t) for t in texts[:1500]] + [(3, 5, "user", t) for t in texts[:-1]] + [(4, 10**9 * i, "user", texts[i]) for i in range(1100)]
+    rows += [(5, 0, "user", None), (6, 0, "user", "\0"), (7, 0, None, "x"), (8, 0, "\0", "x")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(9)
+    got = {}
+    for x in chat.format_chats(turns).collect():
+        got.setdefault(x.conv_id, {})[x.part] = x
+    assert set(got) == {1, 5, 6, 7, 8} and {k for k in got[1]} == {0, 1, 2} and got[1][0].n_turns == 3000
+    assert "".join(got[1][k].chat for k in range(3)) == "".join(f"<|user|>\n{t}\n<|end|>\n" for t in texts)
+
+
 def words(r, n):
     return [f"w{r.randrange(10**5)}" for _ in range(n)]
 
@@ -168,6 +180,25 @@ def test_dedup_keeps_rows_and_columns(spark):
         substring_dedup.dedup_substrings(docs, min_words=4)
 
 
+def test_search_over_many_blocks(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    monkeypatch.setattr(ann, "QUERIES_AT_ONCE", 70)
+    x = r.normal(0, 1, (20_000, 16))
+    x[15_000:15_040] = x[7]  # ties, over several blocks' worth of ids
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(vectors, vectors.filter("vec_id % 100 = 0 or vec_id = 7")).toPandas()
+    hits = 0
+    for q in [*range(0, 20_000, 100), 7]:
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        order = [i for i in np.lexsort((np.arange(len(x)), d)) if i != q][:10]
+        own = got[got.query_id == q].sort_values("rank")
+        assert own["rank"].tolist() == list(range(1, 11)) and np.allclose(own.score, d[own.vec_id.to_numpy()], rtol=0, atol=1e-12)
+        hits += len(set(order) & set(own.vec_id))
+        if q == 7 or 15_000 <= q < 15_040:
+            assert own.vec_id.tolist() == order
+    assert hits >= 0.9 * 2010
+
+
 def test_nearest_vectors(spark):
     r = np.random.default_rng(5)
     x = np.concatenate([r.normal(0, 1, (600, 10)), np.tile(r.normal(0, 1, (1, 10)), (50, 1))])
