@@ -2,8 +2,8 @@
 
 A text's words are cut into chunks at the words where a gear hash of the last few is least among its
 neighbours. So boundaries follow from the words around them alone, an insertion shifts none but those beside
-it, and two texts that share min_words words in a row share a whole chunk there. Chunks are deduplicated by
-digest over all texts. Only near chunks that occur twice are grams of GRAM words compared: one that stands
+it, and two texts that share min_words words in a row share a whole chunk there. Chunks are deduplicated over
+all texts by a digest of the chunk and a few words behind it, so short common phrases don't meet. Only near chunks that occur twice are grams of GRAM words compared: one that stands
 in a document of a smaller id, or earlier in the same one, is a repeat. Grams that repeat at each word of
 min_words words and more in a row are cut out, from the first of these words to the last; shorter runs are
 common phrases and stay. Copies of a whole text are found by its hash.
@@ -21,8 +21,8 @@ from .common import free_name, map_texts, quoted, table, written
 
 #: Bytes of a word past which it is divided, and of a part of it at most; parts are 2 ** BITS bytes on average.
 UNSPACED, LONGEST, BITS = 64, 1024, 3
-#: Words that the gear hash reads, of a gram, and of a run that is cut.
-READ, GRAM, MIN_WORDS = 4, 16, 30
+#: Words that the gear hash reads, that a digest reads behind a chunk, of a gram, and of a run that is cut.
+READ, LOOK, GRAM, MIN_WORDS = 4, 8, 16, 30
 
 
 def gear_table() -> np.ndarray:
@@ -100,14 +100,15 @@ def digests(data: bytes, ends: np.ndarray, k: int = GRAM) -> tuple[np.ndarray, n
     return words, (grams ^ (grams >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def chunks(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Digests and first words of a text's chunks, from the digests of its words; none for an empty text.
+def chunks(words: np.ndarray, window: int, look: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digests, first words and ends (one past the last word that the digest reads) of a text's chunks, from the
+    digests of its words; none for an empty text.
 
     The gear hash of a place adds up the table's entries for the words before it, shifted by their distance, so
     that READ words fill it. A chunk begins where the hash is the least of all in some window of places."""
     n = len(words)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     gear = GEAR[(words >> np.uint64(56)).astype(np.int64)]
     h = gear.copy()
     for j in range(1, READ):
@@ -118,10 +119,18 @@ def chunks(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
         # The hash up to a word decides on the place behind it.
         seen = np.lib.stride_tricks.sliding_window_view(h[READ - 1 : n - 1], window)
         begins = np.unique(np.append(seen.argmin(1) + np.arange(len(seen)) + READ, 0))
-    place = np.arange(n) - np.repeat(begins, np.diff(begins, append=n))
-    mixed = (words + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xBF58476D1CE4E5B9)
-    digest = np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), begins)
-    return (digest ^ (digest >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15), begins
+    ends = np.append(begins[1:], n)
+    digest = np.add.reduceat(_placed(words, np.arange(n) - np.repeat(begins, ends - begins)), begins)
+    for j in range(look):
+        at = ends + j
+        some = at < n
+        digest[some] += _placed(words[at[some]], (at - begins)[some])
+    return (digest ^ (digest >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15), begins, np.minimum(ends + look, n)
+
+
+def _placed(words: np.ndarray, place: np.ndarray) -> np.ndarray:
+    x = (words + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
 
 def _bytes(text: str | None) -> bytes:
@@ -133,30 +142,32 @@ def _digests(text: str | None, k: int) -> tuple[np.ndarray, np.ndarray]:
     return digests(data, boundaries(data), k)
 
 
-def window_of(min_words: int) -> int:
-    """Places of a window, such that min_words words hold READ - 1 of them and two windows."""
+def measures(min_words: int) -> tuple[int, int]:
+    """Places of a window and words that a digest reads behind a chunk, such that min_words words hold READ - 1 of
+    them, two windows and what is read behind."""
     if min_words < READ + 1:
         raise ValueError(f"min_words is {READ + 1} at least")
-    return (min_words - READ + 1) // 2
+    look = min(LOOK, (min_words - READ + 1) // 3)
+    return (min_words - READ + 1 - look) // 2, look
 
 
-def text_chunks(docs: DataFrame, keep: list[str], window: int, text: str = "text") -> DataFrame:
-    """``keep`` with n_words and a text's chunks in order: digests and first words."""
+def text_chunks(docs: DataFrame, keep: list[str], window: int, look: int, text: str = "text") -> DataFrame:
+    """``keep`` with n_words and a text's chunks in order: digests, and spans as first word << 32 | end."""
 
     def make():
         def run(texts):
             words = [_digests(t, 1)[0] for t in texts]
-            made = [chunks(w, window) for w in words]
-            return [len(w) for w in words], [d.view(np.int64) for d, _ in made], [b for _, b in made]
+            made = [chunks(w, window, look) for w in words]
+            return [len(w) for w in words], [d.view(np.int64) for d, _, _ in made], [a << 32 | b for _, a, b in made]
 
         return run
 
-    return map_texts(docs, keep, text, "n_words long, digests array<long>, begins array<int>", make)
+    return map_texts(docs, keep, text, "n_words long, digests array<long>, spans array<long>", make)
 
 
 def near(held: list[tuple[int, int]], window: int, k: int) -> list[tuple[int, int]]:
     """Stretches (first gram, one past the last) of all grams that a run around one of these chunks (first word,
-    one past the last) may hold: it begins READ - 1 words and a window before a chunk at most, and ends a
+    end) may hold: it begins READ - 1 words and a window before a chunk at most, and ends a
     window behind one."""
     out: list[list[int]] = []
     for first, past in sorted(held):
@@ -168,14 +179,14 @@ def near(held: list[tuple[int, int]], window: int, k: int) -> list[tuple[int, in
     return [(a, b) for a, b in out]
 
 
-def grams_near(text: str | None, stretches: list[tuple[int, int]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Grams in the stretches, their places, and whether one stands at an earlier place, too."""
+def grams_near(text: str | None, stretches: list[tuple[int, int]], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Grams in the stretches, and their places << 1, odd where one stands at an earlier place, too."""
     grams = _digests(text, k)[1]
     at = np.concatenate([np.arange(a, min(b, len(grams))) for a, b in stretches]).astype(np.int32)
     grams = grams[at]
     again = np.ones(len(grams), bool)
     again[np.unique(grams, return_index=True)[1]] = False
-    return grams.view(np.int64), at, again
+    return grams.view(np.int64), at << 1 | again
 
 
 def runs(hits: list[tuple[int, int]], k: int, min_words: int) -> list[tuple[int, int, list[int]]]:
@@ -212,8 +223,8 @@ RUNS = "array<struct<a:int,b:int,ids:array<bigint>>>"
 
 def repeats(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """_id, _hash and _runs of the documents with repeats, from ``docs`` with _id, _hash and a text."""
-    k, window = min(GRAM, min_words), window_of(min_words)
-    held = written(text_chunks(docs, ["_id", "_hash"], window, text), "chunks")
+    k, (window, look) = min(GRAM, min_words), measures(min_words)
+    held = written(text_chunks(docs, ["_id", "_hash"], window, look, text), "chunks")
     # Copies of a whole text are one document from here on: of the least id. The others are cut as a whole.
     wholes = held.filter(F.col("n_words") >= min_words).groupBy("_hash").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).filter("_first < _last")
     wholes = written(wholes.select(F.col("_hash").alias("_h"), "_first"), "wholes")
@@ -225,16 +236,15 @@ def repeats(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) ->
     ).distinct()
     own = held.filter(F.col("n_words") >= min_words).join(others, copy, "left_anti")
     shared = own.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("_n")).filter("_n > 1").select("digest")
-    ends = F.concat(F.slice("begins", 2, F.greatest(F.size("begins") - 1, F.lit(1))), F.array(F.col("n_words").cast("int")))
-    spread = own.select("_id", "_hash", F.explode(F.arrays_zip(F.col("digests").alias("digest"), F.col("begins").alias("a"), ends.alias("b"))).alias("_c")).select("_id", "_hash", "_c.*")
+    spread = own.select("_id", "_hash", F.explode(F.arrays_zip(F.col("digests").alias("digest"), F.col("spans").alias("span"))).alias("_c")).select("_id", "_hash", "_c.*")
     # A document's places are as many as its words at most.
-    places = spread.join(shared, "digest").groupBy("_id", "_hash").agg(F.collect_set(F.struct("a", "b")).alias("_held"))
+    places = spread.join(shared, "digest").groupBy("_id", "_hash").agg(F.collect_set("span").alias("_held"))
 
     @F.pandas_udf("array<struct<a:int,b:int>>")
-    def stretches_of(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([[{"a": x, "b": y} for x, y in near(list(zip(p.tolist(), q.tolist(), strict=True)), window, k)] for p, q in zip(a, b, strict=True)], dtype=object)
+    def stretches_of(held: pd.Series) -> pd.Series:
+        return pd.Series([[{"a": x, "b": y} for x, y in near([(v >> 32, v & 0xFFFFFFFF) for v in p.tolist()], window, k)] for p in held], dtype=object)
 
-    stretches = written(places.select("_id", "_hash", stretches_of("_held.a", "_held.b").alias("_near")), "stretches")
+    stretches = written(places.select("_id", "_hash", stretches_of("_held").alias("_near")), "stretches")
 
     def compare():
         def run(texts, found):
@@ -244,12 +254,12 @@ def repeats(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) ->
         return run
 
     asked = _met(docs, stretches, F.size("_near"), "inner")
-    rows = written(map_texts(asked, ["_id", "_hash"], text, "grams array<long>, _at array<int>, _again array<boolean>", compare, 1 << 20, ("_near",)), "grams")
-    each = rows.select("_id", "_hash", F.explode(F.arrays_zip("grams", "_at", "_again")).alias("_g")).select("_id", "_hash", "_g.*")
+    rows = written(map_texts(asked, ["_id", "_hash"], text, "grams array<long>, _at array<int>", compare, 1 << 20, ("_near",)), "grams")
+    each = rows.select("_id", "_hash", F.explode(F.arrays_zip("grams", "_at")).alias("_g")).select("_id", "_hash", "_g.*")
     first = rows.select("_id", F.explode("grams").alias("grams")).groupBy("grams").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    hits = each.join(first.select("grams", "_first"), "grams").filter("_first < _id or _again")
+    hits = each.join(first.select("grams", "_first"), "grams").filter("_first < _id or _at % 2 = 1")
     # A document's repeats are as many as its words at most.
-    marked = hits.groupBy("_id", "_hash").agg(F.collect_set(F.struct("_at", "_first")).alias("_hits")).filter(F.size("_hits") >= min_words - k + 1)
+    marked = hits.groupBy("_id", "_hash").agg(F.collect_set(F.struct(F.shiftright("_at", 1).alias("_at"), "_first")).alias("_hits")).filter(F.size("_hits") >= min_words - k + 1)
 
     @F.pandas_udf(RUNS)
     def runs_of(places: pd.Series, firsts: pd.Series) -> pd.Series:

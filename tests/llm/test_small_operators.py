@@ -88,16 +88,16 @@ def test_chunks_resist_insertions():
     r = random.Random(3)
     spaced = " ".join(words(r, 2000)).encode()
     unspaced = "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(6000)).encode()
-    window = substring_dedup.window_of(30)
+    window, look = substring_dedup.measures(30)
 
     def of(data):
-        return set(substring_dedup.chunks(substring_dedup.digests(data, substring_dedup.boundaries(data))[0], window)[0].tolist())
+        return set(substring_dedup.chunks(substring_dedup.digests(data, substring_dedup.boundaries(data))[0], window, look)[0].tolist())
 
     for data, more in ((spaced, b"inserted two "), (unspaced, "一二".encode())):
         for at in (3000, 6000, 9000):
             at = data.index(b" ", at) + 1 if data is spaced else at
             a, b = of(data), of(data[:at] + more + data[at:])
-            assert len(a) > 100 and len(a - b) <= 4 and len(b - a) <= 4
+            assert len(a) > 100 and len(a - b) <= 7 and len(b - a) <= 7
     for x in (b"", b" ", b"a" * 5000, "é".encode() * 3000, spaced, unspaced):
         ends = substring_dedup.boundaries(x)
         assert (list(ends[-1:]) or [0]) == [len(x)] and (np.diff(ends, prepend=0) > 0).all()
@@ -111,9 +111,10 @@ def test_every_window_has_a_boundary():
     r = np.random.default_rng(4)
     for n in (0, 1, 5, 16, 17, 200, 3000):
         found = r.integers(0, 1 << 63, n, np.uint64) << np.uint64(1)
-        for window in (1, 2, 13):
-            digest, begins = substring_dedup.chunks(found, window)
-            assert len(digest) == len(begins) == len(set(begins.tolist())) and (n == 0 or begins[0] == 0)
+        for window in (1, 2, 9):
+            digest, begins, ends = substring_dedup.chunks(found, window, 8)
+            assert len(digest) == len(begins) == len(set(begins.tolist())) == len(ends) and (n == 0 or begins[0] == 0)
+            assert (ends > begins).all() and (ends <= n).all()
             if n >= 4 + window:
                 assert np.diff(begins[1:], append=n).max(initial=0) <= window + 1
 
