@@ -50,14 +50,38 @@ def _combine(spark, a) -> DataFrame:
     return graph.combiner_demo(spark, a.k)
 
 
-def _bench(spark, a) -> DataFrame:
-    return graph.random_messages(spark, a.k, 100, 1000, a.rounds)
-
-
 def _generate(spark, a) -> DataFrame:
     return graph.random_graph(spark, a.k, 10)
 
 
+def _symmetric(spark, a) -> DataFrame:
+    return graph.random_symmetric_matrix(spark, a.k, a.density)
+
+
+def _vectors(spark, a) -> DataFrame:
+    return graph.random_vectors(spark, a.k, 10)
+
+
+def _network(spark, a) -> DataFrame:
+    """Trains a network with one hidden layer on tab-separated numbers, the last being the label, and stores the
+    model; with a stored model, gives each row its output."""
+    from pyspark.sql import functions as F
+
+    from .sources import sinks
+
+    rows = T.tab_vectors(T.lines(spark, a.input)).select("vec")
+    if not a.train:
+        settings, weights = sinks.read_model(spark, a.model_path)
+        net = learning.LayeredNetwork(**settings)
+        net.weights = weights
+        return net.predict(rows)
+    d = rows.select(F.size("vec")).first()[0] - 1
+    net = learning.LayeredNetwork([d, a.k, 1], ["Sigmoid", "Sigmoid"], "CrossEntropy", rate=0.5, momentum=0.2)
+    net.train(rows, a.rounds, batch=0)
+    sinks.write_model(spark, net.settings(), net.weights, a.model_path)
+    return net.predict(rows)
+
+
 def _kmeans(spark, a) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -72,7 +96,7 @@ def _descent(spark, a) -> DataFrame:
 
 PROGRAMS = {
     "pagerank": _pagerank, "sssp": _sssp, "components": _components, "inlinks": _in_links, "bipartite": _bipartite, "semi": _semi,
-    "pi": _pi, "combine": _combine, "bench": _bench, "generate": _generate, "kmeans": _kmeans, "descent": _descent,
+    "pi": _pi, "combine": _combine, "generate": _generate, "symmetric": _symmetric, "vectors": _vectors, "network": _network, "kmeans": _kmeans, "descent": _descent,
 }
 
 
@@ -84,6 +108,9 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("--start", default="0")
     parser.add_argument("--rounds", type=int, default=30)
     parser.add_argument("--k", type=int, default=4)
+    parser.add_argument("--density", type=float, default=0.1)
+    parser.add_argument("--train", action="store_true")
+    parser.add_argument("--model-path")
     parser.add_argument("--model", default="linear", choices=sorted(learning.MODELS))
     a = parser.parse_args(args)
     spark = SparkSession.builder.appName(f"lockstep {a.name}").getOrCreate()

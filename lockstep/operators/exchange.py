@@ -18,6 +18,12 @@ def by_function(df: DataFrame, n: int, owner: Column) -> DataFrame:
     return df.withColumn("peer", F.pmod(owner, F.lit(n)).cast("int")).repartition(n, "peer")
 
 
+def merged(df: DataFrame, partitions: int, peers: int, owner: Column) -> DataFrame:
+    """Rows with the peer that merges their partition: partition ``owner`` mod partitions goes to partition mod
+    peers, so equal keys stay together when there are fewer peers than partitions."""
+    return df.withColumn("peer", F.pmod(F.pmod(owner, F.lit(partitions)), F.lit(peers)).cast("int")).repartition(peers, "peer")
+
+
 def sorted_partitions(df: DataFrame, n: int, key: str, converted: Callable[[Column], Column] | None = None) -> DataFrame:
     """Dealt and sorted within partitions by the key, or by what it is converted to; rows stay as they are."""
     route = converted(F.col(key)) if converted else F.col(key)
@@ -28,9 +34,11 @@ def partition_sizes(df: DataFrame) -> DataFrame:
     return df.groupBy(F.spark_partition_id().alias("partition")).count()
 
 
-def combined(messages: DataFrame, to: list[str], amount: str, combine: Callable[[Column], Column]) -> DataFrame:
-    """Messages reduced by target, partly before they are shuffled."""
-    return messages.groupBy(*to).agg(combine(F.col(amount)).alias(amount))
+def combined(messages: DataFrame, to: list[str], amount: str, combine: Callable[[Column], Column] | dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Messages reduced by target, partly before they are shuffled: one combiner, or several by the names of what
+    they give."""
+    named = combine if isinstance(combine, dict) else {amount: combine}
+    return messages.groupBy(*to).agg(*[f(F.col(amount)).alias(n) for n, f in named.items()])
 
 
 def all_reduce(df: DataFrame, **aggregates: Column) -> dict:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,13 +13,15 @@ from ..plans.storage import written
 
 
 def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 30, eps: float | None = 0.001,
-             legacy_error: bool = False, self_edges: bool = True, checkpoint_every: int = 5) -> DataFrame:
+             legacy_error: bool = False, self_edges: bool = True, checkpoint_every: int = 5, path: str | None = None, resume_at: int | None = None) -> DataFrame:
     """(id, value): 1/N at first, then (1-d)/N + d * sum of rank/out-degree over in-edges, ``rounds`` times
     or, from the third round, until the mean change is under ``eps`` (None: a fixed number of rounds, with
     no look at the ranks in between). Self edges keep the rank of vertices without out-edges."""
+    vertices = written(vertices.select("id"), "ids")
     links = edges.select("src", "dst")
     if self_edges:
         links = links.unionByName(vertices.select(F.col("id").alias("src"), F.col("id").alias("dst")))
+    links = written(links, "links")
     degree = links.groupBy("src").agg(F.count("*").alias("_d"))
     # The share that goes along an edge is fixed: it is the edge's weight.
     weighted = written(links.join(degree, "src").select("src", "dst", (F.lit(1.0) / F.col("_d")).alias("weight")), "edges")
@@ -32,7 +36,7 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, round
         start, weighted, compute=compute, message=lambda v, w: v * w, combine=F.sum, max_iterations=rounds,
         aggregators={"error": Aggregator(lambda old, new: change.column(old, new) / max(n, 1))} if eps is not None else None,
         until=(lambda c: c.superstep > 2 and c.aggregates["error"] < eps) if eps is not None else None,
-        checkpoint_every=1 if eps is not None else checkpoint_every,
+        checkpoint_every=1 if eps is not None else checkpoint_every, path=path, resume_at=resume_at, laid_out=True,
     )
 
 
@@ -54,10 +58,14 @@ def shortest_paths(vertices: DataFrame, edges: DataFrame, start, unreached: int
 
 
 def components(vertices: DataFrame, edges: DataFrame, undirected: bool = False, max_iterations: int = 30) -> DataFrame:
-    """(id, value): the least id among a vertex, its out-neighbours and those that reach it along edges."""
-    links = edges.select("src", "dst", "weight")
+    """(id, value): the least id among a vertex, its out-neighbours and those that reach it along edges; where edges
+    count both ways, the least of the whole component, by contraction in a few rounds whatever its diameter."""
     if undirected:
-        links = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).distinct()
+        ids = vertices.select("id").distinct()
+        known = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).join(ids.select(F.col("id").alias("a")), "a", "left_semi").join(ids.select(F.col("id").alias("b")), "b", "left_semi")
+        roots = connected(known)
+        return ids.join(roots, ids["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("value"))
+    links = edges.select("src", "dst", "weight")
     near = links.groupBy("src").agg(F.min("dst").alias("_m"))
     begin = vertices.join(near, vertices["id"] == near["src"], "left").select("id", F.least("id", "_m").alias("value"))
     return pregel(
@@ -67,6 +75,30 @@ def components(vertices: DataFrame, edges: DataFrame, undirected: bool = False,
     )
 
 
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, root) of the nodes of edges (a, b): the least node of each component, by large and small star steps until
+    nothing changes. Each step groups by one end of pre-aggregated edges and is written to the shared folder."""
+    now = written(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi <> lo").distinct(), "edges")
+    mark = None
+    while True:
+        # Large star: neighbours above a node go to the node's least neighbour.
+        both = now.unionByName(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
+        least = both.groupBy("hi").agg(F.least(F.min("lo"), F.col("hi")).alias("m"))
+        large = both.join(least, "hi").filter("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).filter("hi <> lo").distinct()
+        # Small star: a node and its lower neighbours go to the least of these.
+        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = large.join(low, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).filter("hi <> lo")
+        now = written(small.unionByName(low.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
+        # A sum of hashes, folded to whole numbers that can't overflow.
+        state = tuple(now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("hi", "lo"), F.lit(1 << 31)))).first())
+        if state == mark:
+            break
+        mark = state
+    return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(
+        now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()
+    )
+
+
 def in_links(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, value): in-edges of each vertex."""
     counts = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("_n"))
@@ -117,14 +149,14 @@ def dynamic_sum(vertices: DataFrame) -> DataFrame:
     spark = vertices.sparkSession
     held = vertices.select(F.col("id").cast("string").alias("id"), F.col("value").cast("long").alias("value"), F.array().cast("array<struct<dst:string,weight:double>>").alias("edges"))
     added = held.unionByName(spark.createDataFrame([("sum", 0, [])], held.schema))
-    return vertex_program(added, _Collapse, "long", "long", max_iterations=3)
+    return vertex_program(added, _Collapse, "long", "long", max_iterations=3, combine=F.sum)
 
 
 def semi_clusters(vertices: DataFrame, edges: DataFrame, max_clusters: int = 10, max_sent: int = 10, max_size: int = 10,
                   boundary: float = 0.0, rounds: int = 10) -> DataFrame:
     """(id, cluster, members, score): the best clusters that hold each vertex.
 
-    A cluster's score is (inner - boundary * crossing weight) / (V (V-1) / 2), 0 for one member. Each round
+    A cluster's score is (inner - boundary * crossing weight) / (V (V-1) / 2), 1 for one member. Each round
     vertices send their best ``max_sent`` clusters to neighbours, which join those that have room and keep
     the best ``max_clusters`` that hold them, by score, then size, then name. Each edge counts once."""
     both = edges.select("src", "dst", "weight").filter("src <> dst")
@@ -176,14 +208,6 @@ def combiner_demo(spark: SparkSession, peers: int, values: tuple[int, ...] = (1,
     return to.withColumn("v", F.explode(F.array(*[F.lit(v) for v in values]))).groupBy("sender", "receiver").agg(F.sum("v").alias("value"))
 
 
-def random_messages(spark: SparkSession, peers: int, size: int, count: int, rounds: int, seed: int = 1) -> DataFrame:
-    """(round, receiver, messages, bytes) of ``count`` random messages a peer and round."""
-    rows = spark.range(peers * count * rounds).select(
-        F.expr(f"id % {rounds}").alias("round"), F.floor(F.rand(seed) * peers).alias("receiver"), F.repeat(F.lit("x"), size).alias("payload")
-    )
-    return rows.groupBy("round", "receiver").agg(F.count("*").alias("messages"), F.sum(F.length("payload")).alias("bytes"))
-
-
 def random_graph(spark: SparkSession, size: int, degree: int, seed: int = 1) -> DataFrame:
     """(id, adj): each of ``size`` vertices with up to ``degree`` distinct targets."""
     draws = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(degree)), lambda k: F.pmod(F.xxhash64(F.lit(seed), F.col("id"), k), F.lit(size))))
@@ -191,9 +215,12 @@ def random_graph(spark: SparkSession, size: int, degree: int, seed: int = 1) ->
 
 
 def random_symmetric_matrix(spark: SparkSession, size: int, density: float, seed: int = 1) -> DataFrame:
-    """Cells (i, j, x) of a symmetric 0/1 matrix; each row draws the cells right of its diagonal."""
-    upper = spark.range(size).select(F.col("id").alias("i"), F.explode(F.sequence(F.col("id"), F.lit(size - 1).cast("long"))).alias("j"))
-    upper = upper.filter(F.pmod(F.xxhash64(F.lit(seed), "i", "j"), F.lit(1 << 30)) < int(density * (1 << 30))).withColumn("x", F.lit(1.0))
+    """Cells (i, j, x) of a symmetric 0/1 matrix. Each row draws as many cells right of its diagonal, itself
+    included, as its length asks for; what is drawn twice counts once, so draws are a little more than cells."""
+    wanted = F.round((size - F.col("i")) * F.lit(-math.log1p(-min(density, 0.999)))).cast("int")
+    rows = spark.range(size).select(F.col("id").alias("i")).withColumn("_n", wanted).filter("_n > 0")
+    drawn = rows.select("i", F.explode(F.sequence(F.lit(1), "_n")).alias("_k")).select("i", (F.col("i") + F.pmod(F.xxhash64(F.lit(seed), "i", "_k"), size - F.col("i"))).alias("j"))
+    upper = drawn.distinct().withColumn("x", F.lit(1.0))
     return upper.unionByName(upper.filter("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "x"))
 
 

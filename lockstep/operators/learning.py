@@ -5,7 +5,7 @@ from __future__ import annotations
 from typing import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -28,6 +28,7 @@ def kmeans(rows: DataFrame, centres: list[list[float]], max_iterations: int = 10
     Each round is one pre-aggregated group by centre; what comes back is a row for each centre."""
     now = [list(map(float, c)) for c in centres]
     dims = len(now[0])
+    rows = written(rows.select(vec), "points")  # what each round reads
     done = 0
     while True:
         found = rows.select(nearest_centre(F.col(vec), now, distance).alias("c"), F.col(vec).alias("v")).groupBy("c").agg(F.count("*").alias("n"), *[F.sum(F.get("v", j)).alias(f"s{j}") for j in range(dims)]).collect()
@@ -78,7 +79,7 @@ def gradient_descent(rows: DataFrame, model="linear", alpha: float = 0.003, thre
     after the first round is an error if ``strict``."""
     hypothesis, cost = MODELS[model] if isinstance(model, str) else model
     x = transform(F.col(vec)) if transform else F.col(vec)
-    data = rows.select(F.col(label).cast("double").alias("y"), x.alias("x"))
+    data = written(rows.select(F.col(label).cast("double").alias("y"), x.alias("x")), "examples")  # what each round reads
     first = data.select(F.size("x").alias("d")).first()
     if first is None:
         return [], []
@@ -151,14 +152,14 @@ class LayeredNetwork:
             self.step(self.gradients(a[None], b[None]), 1)
 
     def train(self, rows: DataFrame, rounds: int, batch: int = 50, vec: str = "vec", check_every: int = 0, tolerance: float = 1e-6, seed: int = 1) -> list[float]:
-        """Rounds of parallel training: each partition sums the gradients of about ``batch`` of its rows, the
+        """Rounds of parallel training: each partition sums the gradients of about ``batch`` of its rows (0: all), the
         sums are added up by Spark, and one step of their mean follows. The tail of ``vec`` is the label, or
         the whole of it when unsupervised. Every ``check_every`` rounds the mean cost is compared; the list of
         these costs is returned."""
         d, out = self.sizes[0], self.sizes[-1]
         data = written(rows.select(F.col(vec).cast("array<double>").alias("v")), "training")
         n, parts = data.count(), max(1, data.rdd.getNumPartitions())
-        share = min(1.0, batch * parts / max(n, 1))
+        share = min(1.0, batch * parts / max(n, 1)) if batch else 1.0
         costs: list[float] = []
         for number in range(rounds):
             shared = self
@@ -235,25 +236,26 @@ class AutoEncoder(LayeredNetwork):
         return _ACT["sigmoid"][0](np.hstack([np.ones((len(h), 1)), h]) @ self.weights[1].T)
 
 
-def factorize(ratings: DataFrame, rank: int = 10, rounds: int = 20, rate: float = 0.01, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+def factorize(ratings: DataFrame, rank: int = 10, rounds: int = 20, rate: float = 0.01, seed: int = 1, initial: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(users, items) with factors: (user, vec) and (item, vec), from (user, item, rating).
 
     In a round ratings meet their factors by joins, every rating gives both sides a correction of
     2 * rate * error * other, and corrections are pre-aggregated for each user and item before they apply,
-    so neither a busy user nor a popular item fills a task. Factors begin as hashes from 0 to 1."""
+    so neither a busy user nor a popular item fills a task. A sum of n > 8 corrections is scaled by 8/n. Factors
+    begin as hashes from 0 to 1, or as the (users, items) of ``initial``, such as those of an earlier run."""
     data = written(ratings.select("user", "item", F.col("rating").cast("double").alias("rating")), "ratings")
 
     def begin(key: str, salt: int) -> DataFrame:
         draw = F.array(*[F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.lit(j), F.col(key)), F.lit(1 << 20)) / float(1 << 20) for j in range(rank)])
         return written(data.select(key).distinct().withColumn("vec", draw), key)
 
-    users, items = begin("user", 1), begin("item", 2)
+    users, items = (begin("user", 1), begin("item", 2)) if initial is None else [written(f.select(k, "vec"), k) for k, f in zip(("user", "item"), initial, strict=True)]
     for _ in range(rounds):
         met = data.join(users.withColumnRenamed("vec", "u"), "user").join(items.withColumnRenamed("vec", "i"), "item")
         error = F.col("rating") - V.dot_unchecked(F.col("u"), F.col("i"))
-        met = written(met.withColumn("e", 2 * rate * error).select("user", "item", "e", "u", "i"), "met")
-        users = _corrected(users, met, "user", "i", rank)
-        items = _corrected(items, met, "item", "u", rank)
+        # Both sides are corrected by the factors before the round; a rating's factors are never written.
+        met = met.withColumn("e", 2 * rate * error).select("user", "item", "e", "u", "i")
+        users, items = _corrected(users, met, "user", "i", rank), _corrected(items, met, "item", "u", rank)
     return users, items
 
 
@@ -296,3 +298,8 @@ def most_similar(side: DataFrame, key: str, of: int, n: int) -> DataFrame:
 def save_factors(users: DataFrame, items: DataFrame, path: str) -> None:
     users.write.mode("error").parquet(f"{path}/users")
     items.write.mode("error").parquet(f"{path}/items")
+
+
+def load_factors(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(users, items) as ``save_factors`` left them."""
+    return spark.read.parquet(f"{path}/users"), spark.read.parquet(f"{path}/items")

@@ -6,6 +6,8 @@ and the parts they sell, and orders in a row that are chained where one is in st
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from ..functions import matrices as M
 from ..functions import vectors as V
 from ..plans import bsp
 from ..plans.aggregators import ABS_DIFF, AVERAGE_CHANGE, COUNT, MAX, MIN, SUM
+from ..plans.pregel import pregel
+from ..plans.storage import shared_dir, written
 from ..sources import text as T
 from . import exchange, graph, joins, learning
 
@@ -93,25 +97,46 @@ def shortest_paths_chain(spark, sf_dir):
 
 
 def components_chain(spark, sf_dir):
+    vertices, edges = _chain(spark, sf_dir)
+    return graph.components(vertices, edges, undirected=True).select("id", F.col("value").alias("component"))
+
+
+def components_directed(spark, sf_dir):
+    """As above, along edges in both directions by the vertex loop."""
     vertices, edges = _chain(spark, sf_dir)
     return graph.components(vertices, edges, max_iterations=-1).select("id", F.col("value").alias("component"))
 
 
+def pagerank_resumed(spark, sf_dir):
+    """Four rounds of PageRank whose last two are run again from what the second left."""
+    vertices, edges = _trade(spark, sf_dir)
+    path = f"{shared_dir(spark)}/pagerank-{uuid.uuid4().hex}"
+    graph.pagerank(vertices, edges, rounds=4, eps=None, checkpoint_every=1, path=path)
+    return graph.pagerank(vertices, edges, rounds=4, eps=None, checkpoint_every=1, path=f"{path}/", resume_at=2).select("id", F.round("value", 9).alias("rank"))
+
+
 def in_links_sales(spark, sf_dir):
     vertices, edges = _sales(spark, sf_dir)
     return graph.in_links(vertices, edges).select("id", F.col("value").alias("links"))
 
 
 def matching_size(spark, sf_dir):
-    """Whether the matching of customers and suppliers is one (no end twice) and maximal."""
+    """A matching of customers and suppliers: edges left between free ends, ends matched twice, pairs that are no
+    edge, partners that don't agree, and whether it is of half the smaller side's size at least."""
     _, edges = _sales(spark, sf_dir)
-    pairs = edges.filter("src < 0").select("src", "dst", "weight")
+    pairs = written(edges.filter("src < 0").select("src", "dst", "weight"), "pairs")
     sides = pairs.select(F.col("src").alias("id"), F.lit("L").alias("side")).unionByName(pairs.select(F.col("dst").alias("id"), F.lit("R").alias("side"))).distinct()
-    got = graph.bipartite_matching(sides, pairs)
-    free = got.filter("value is null").select("id")
+    got = written(graph.bipartite_matching(sides, pairs), "matching")
+    free, held = got.filter("value is null").select("id"), got.filter("value is not null")
     open_pairs = pairs.join(free.select(F.col("id").alias("src")), "src", "left_semi").join(free.select(F.col("id").alias("dst")), "dst", "left_semi")
-    twice = got.filter("value is not null").groupBy("value").count().filter("count > 1")
-    return open_pairs.agg(F.count("*").alias("open_pairs")).crossJoin(twice.agg(F.count("*").alias("twice_matched")))
+    left = held.filter("side = 'L'").select(F.col("id").alias("src"), F.col("value").alias("dst"))
+    back = held.filter("side = 'R'").select(F.col("value").alias("src"), F.col("id").alias("dst"))
+    counts = {
+        "open_pairs": open_pairs, "twice_matched": held.groupBy("value").count().filter("count > 1"), "no_edges": left.join(pairs, ["src", "dst"], "left_anti"),
+        "one_sided": left.join(back, ["src", "dst"], "left_anti").unionByName(back.join(left, ["src", "dst"], "left_anti")),
+    }
+    size, least = left.count(), min(r["count"] for r in sides.groupBy("side").count().collect())
+    return spark.createDataFrame([(*[f.count() for f in counts.values()], 2 * size >= least)], ", ".join(f"{n} long" for n in counts) + ", large boolean")
 
 
 def semi_clusters_trade(spark, sf_dir):
@@ -121,14 +146,14 @@ def semi_clusters_trade(spark, sf_dir):
 
 
 def dynamic_sum_orders(spark, sf_dir):
-    rows = _t(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_nationkey").alias("value"))
+    rows = _t(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.col("o_custkey").alias("value"))
     return graph.dynamic_sum(rows)
 
 
 def sender_combine(spark, sf_dir):
     """Messages from suppliers to parts, combined by target: sum, least and greatest."""
     rows = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("dst"), F.col("l_quantity").alias("m"))
-    return rows.groupBy("dst").agg(F.sum("m").alias("total"), F.min("m").alias("least"), F.max("m").alias("most"))
+    return exchange.combined(rows, ["dst"], "m", {"total": F.sum, "least": F.min, "most": F.max})
 
 
 def combine_text_min(spark, sf_dir):
@@ -137,22 +162,29 @@ def combine_text_min(spark, sf_dir):
 
 
 def superstep_aggregates(spark, sf_dir):
-    """All aggregators in one pass: old value the list price, new one the total, of each customer's orders."""
-    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("old"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("new"), F.col("l_linenumber").alias("k"))
-    old, new, k = F.col("old"), F.col("new"), F.col("k")
-    return rows.agg(
-        F.round(SUM.column(old, new), 2).alias("total"), MIN.column(k, k).alias("least"), MAX.column(k, k).alias("most"), COUNT.column(old, new).alias("vertices"),
-        F.round(ABS_DIFF.column(old, new), 2).alias("change"), F.round(AVERAGE_CHANGE.column(old, new), 6).alias("average_change"),
-    )
+    """What all aggregators know after a superstep that takes a tenth off each order's price."""
+    vertices = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value"))
+    edges = vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1).alias("weight")).limit(0)
+    seen = {}
+
+    def until(c):
+        seen.update(c.aggregates)
+        return c.superstep == 1
+
+    held = {"total": SUM, "least": MIN, "most": MAX, "vertices": COUNT, "change": ABS_DIFF, "average_change": AVERAGE_CHANGE}
+    pregel(vertices, edges, compute=lambda v, m, c: v if c.superstep == 0 else v * 0.9, message=lambda v, w: v, combine=F.sum, aggregators=held, until=until)
+    names = ["total", "least", "most", "change", "average_change"]
+    return spark.createDataFrame([(*[round(float(seen[n]), 2) for n in names], seen["vertices"])], ", ".join(f"{n} double" for n in names) + ", vertices long")
 
 
 def _two(spark, sf_dir):
-    a = _t(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("v"))
-    b = _t(spark, sf_dir, "supplier").filter("s_nationkey <> 4").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("v"))
+    """Documents' lengths and labels' qualities by document; labels cover some documents."""
+    a = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.col("n_chars").alias("v"))
+    b = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("k"), F.col("quality").cast("long").alias("v"))
     return a, b
 
 
-_TWO = "a AS (SELECT c_nationkey AS k, c_custkey AS v FROM customer WHERE c_custkey % 3 <> 0), b AS (SELECT s_nationkey AS k, s_suppkey AS v FROM supplier WHERE s_nationkey <> 4)"
+_TWO = "a AS (SELECT doc_id AS k, n_chars AS v FROM documents), b AS (SELECT doc_id AS k, CAST(quality AS BIGINT) AS v FROM labels)"
 
 
 def join_inner(spark, sf_dir):
@@ -171,10 +203,10 @@ def join_override(spark, sf_dir):
 
 
 def join_nested(spark, sf_dir):
-    """override(a, inner(b, nations))."""
+    """override(a, inner(b, vectors))."""
     a, b = _two(spark, sf_dir)
-    names = _t(spark, sf_dir, "nation").filter("n_regionkey < 3").select(F.col("n_nationkey").alias("k"), "n_name")
-    return joins.compose("override", a, joins.compose("inner", b, names, key="k").select("k", F.col("_0.v").alias("v")), key="k")
+    vectors = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("k"), "label")
+    return joins.compose("override", a, joins.compose("inner", b, vectors, key="k").select("k", F.col("_0.v").alias("v")), key="k")
 
 
 def join_choosing(spark, sf_dir):
@@ -336,14 +368,15 @@ def nearest_vectors(spark, sf_dir):
 
 
 def monte_carlo_pi(spark, sf_dir):
-    return graph.estimate_pi(spark)
+    """Whether the estimate from 80,000 points is near."""
+    return graph.estimate_pi(spark).select((F.abs(F.col("value") - 3.141592653589793) < 0.03).alias("near"))
 
 
 def network_rounds(spark, sf_dir):
-    """Predictions of a small network after 20 rounds on lineitem: does the tax predict the flag?"""
+    """Predictions of a small network after 20 rounds over all lines: do quantity and discount predict the flag?"""
     rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array(F.col("l_quantity") / 50, F.col("l_discount") * 10, (F.col("l_returnflag") == "N").cast("double")).alias("vec"))
     net = learning.LayeredNetwork([2, 3, 1], ["Sigmoid", "Sigmoid"], "CrossEntropy", rate=0.4, momentum=0.2)
-    net.train(rows, rounds=20)
+    net.train(rows, rounds=20, batch=0)
     return net.predict(rows).select("l_orderkey", "l_linenumber", F.get("output", 0).alias("score"))
 
 
@@ -354,33 +387,37 @@ def rating_factors(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    pagerank_trade, pagerank_sales, shortest_paths_trade, shortest_paths_chain, components_chain, in_links_sales, matching_size, semi_clusters_trade, dynamic_sum_orders,
+    pagerank_trade, pagerank_sales, shortest_paths_trade, shortest_paths_chain, components_chain, components_directed, pagerank_resumed, in_links_sales, matching_size, semi_clusters_trade, dynamic_sum_orders,
     sender_combine, combine_text_min, superstep_aggregates, join_inner, join_outer, join_override, join_nested, join_choosing, join_where, feature_lookup,
     key_value_text, vector_text, adjacency_text, partition_owner, sort_within, superstep_sums, combiner_pairs, vector_algebra, sparse_matrix_vector, matrix_product, matrix_cells,
     kmeans_rounds, gradient_descent_rounds, nearest_vectors, monte_carlo_pi, network_rounds, rating_factors,
 )}
 
+_COMPONENTS = """SELECT o_orderkey AS id, max(CASE WHEN begins THEN o_orderkey END) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS component
+FROM (SELECT o_orderkey, coalesce(lag(o_orderstatus) OVER (ORDER BY o_orderkey) <> 'P' OR lag(o_orderkey) OVER (ORDER BY o_orderkey) <> o_orderkey - 1, TRUE) AS begins FROM orders)"""
+
 SQL = {
     "pagerank_trade": _pagerank_sql(f"{_TRADE}, vertices AS (SELECT CAST(n_nationkey AS BIGINT) AS id FROM nation)", "vertices", "trade", 10, 9),
+    "pagerank_resumed": _pagerank_sql(f"{_TRADE}, vertices AS (SELECT CAST(n_nationkey AS BIGINT) AS id FROM nation)", "vertices", "trade", 4, 9),
     "pagerank_sales": _pagerank_sql(_SALES, "vertices", "edges", 10, 9),
     "shortest_paths_trade": f"""WITH RECURSIVE {_TRADE}, walk(id, d, k) AS (SELECT CAST(n_nationkey AS BIGINT), CASE WHEN n_nationkey = 0 THEN 0 ELSE 1000000000 END::BIGINT, 0 FROM nation
   UNION ALL (SELECT w.id, min(least(w.d, coalesce(v.d + e.weight, w.d)))::BIGINT, any_value(w.k) + 1 FROM walk w LEFT JOIN trade e ON e.dst = w.id LEFT JOIN walk v ON v.id = e.src WHERE w.k < 25 GROUP BY w.id))
 SELECT id, CASE WHEN d >= 1000000000 THEN {graph.UNREACHED} ELSE d END AS distance FROM walk WHERE k = 25""",
     "shortest_paths_chain": f"""WITH RECURSIVE {_CHAIN}, reach(id, d) AS (SELECT 5::BIGINT, 0::BIGINT UNION SELECT e.dst, r.d + 1 FROM reach r JOIN edges e ON e.src = r.id WHERE r.d < 60)
 SELECT o_orderkey AS id, coalesce(d, {graph.UNREACHED})::BIGINT AS distance FROM orders LEFT JOIN (SELECT id, min(d) AS d FROM reach GROUP BY id) ON id = o_orderkey""",
-    "components_chain": """SELECT o_orderkey AS id, max(CASE WHEN begins THEN o_orderkey END) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS component
-FROM (SELECT o_orderkey, coalesce(lag(o_orderstatus) OVER (ORDER BY o_orderkey) <> 'P' OR lag(o_orderkey) OVER (ORDER BY o_orderkey) <> o_orderkey - 1, TRUE) AS begins FROM orders)""",
+    "components_chain": _COMPONENTS,
+    "components_directed": _COMPONENTS,
     "in_links_sales": f"WITH {_SALES} SELECT id, count(e.src) AS links FROM vertices LEFT JOIN edges e ON e.dst = id GROUP BY id",
-    "matching_size": "SELECT 0::BIGINT AS open_pairs, 0::BIGINT AS twice_matched",
-    "dynamic_sum_orders": "SELECT 'sum' AS id, (sum(n_nationkey) + 1)::BIGINT AS value FROM nation",
+    "matching_size": "SELECT 0::BIGINT AS open_pairs, 0::BIGINT AS twice_matched, 0::BIGINT AS no_edges, 0::BIGINT AS one_sided, true AS large",
+    "dynamic_sum_orders": "SELECT 'sum' AS id, (sum(o_custkey) + 1)::BIGINT AS value FROM orders",
     "sender_combine": "SELECT l_partkey AS dst, sum(l_quantity) AS total, min(l_quantity) AS least, max(l_quantity) AS most FROM lineitem GROUP BY 1",
     "combine_text_min": "SELECT o_custkey, min(o_orderpriority) AS m FROM orders GROUP BY 1",
-    "superstep_aggregates": """SELECT round(sum(l_extendedprice * (1 - l_discount)), 2) AS total, min(l_linenumber) AS least, max(l_linenumber) AS most, count(*) AS vertices,
-round(sum(abs(l_extendedprice - l_extendedprice * (1 - l_discount))), 2) AS change, round(sum(abs(l_extendedprice - l_extendedprice * (1 - l_discount))) / count(*), 6) AS average_change FROM lineitem""",
+    "superstep_aggregates": """SELECT round(0.9 * sum(o_totalprice), 2) AS total, round(0.9 * min(o_totalprice), 2) AS least, round(0.9 * max(o_totalprice), 2) AS most, round(0.1 * sum(o_totalprice), 2) AS change,
+round(0.1 * avg(o_totalprice), 2) AS average_change, count(*) AS vertices FROM orders""",
     "join_inner": f"WITH {_TWO} SELECT k, a.v AS v0, b.v AS v1 FROM a JOIN b USING (k)",
     "join_outer": f"WITH {_TWO} SELECT coalesce(a.k, b.k) AS k, a.v AS v0, b.v AS v1, a.k IS NOT NULL AS has_0, b.k IS NOT NULL AS has_1 FROM a FULL JOIN b ON a.k = b.k",
     "join_override": f"WITH {_TWO} SELECT k, v FROM b UNION ALL SELECT k, v FROM a WHERE k NOT IN (SELECT k FROM b)",
-    "join_nested": f"WITH {_TWO}, c AS (SELECT k, v FROM b JOIN nation ON n_nationkey = k WHERE n_regionkey < 3) SELECT k, v FROM c UNION ALL SELECT k, v FROM a WHERE k NOT IN (SELECT k FROM c)",
+    "join_nested": f"WITH {_TWO}, c AS (SELECT k, v FROM b JOIN embeddings ON vec_id = k) SELECT k, v FROM c UNION ALL SELECT k, v FROM a WHERE k NOT IN (SELECT k FROM c)",
     "join_choosing": f"WITH {_TWO} SELECT coalesce(a.k, b.k) AS k, coalesce(a.v, b.v) AS value FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL",
     "join_where": f"WITH {_TWO} SELECT k, v FROM a WHERE k NOT IN (SELECT k FROM b)",
     "feature_lookup": "SELECT l_partkey AS p_partkey, l_orderkey, l_linenumber, p_brand FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 20) ON l_partkey = p_partkey",
@@ -390,6 +427,7 @@ round(sum(abs(l_extendedprice - l_extendedprice * (1 - l_discount))), 2) AS chan
     "partition_owner": "SELECT CAST(o_custkey % 6 AS INTEGER) AS peer, count(*) AS rows, count(DISTINCT o_custkey) AS keys FROM orders GROUP BY 1",
     "sort_within": "SELECT count(*) AS rows, 0::BIGINT AS out_of_order FROM orders",
     "superstep_sums": "SELECT 4::BIGINT AS messages, CAST(sum(o_custkey) AS DOUBLE) AS total FROM orders",
+    "monte_carlo_pi": "SELECT true AS near",
     "combiner_pairs": "SELECT a AS sender, b AS receiver, 6::BIGINT AS value FROM range(5) x(a), range(5) y(b)",
     "vector_algebra": """SELECT vec_id, round(list_sum(v), 6) AS total, round(list_sum(list_transform(v, lambda x: x * (2 * x - 0.5))), 6) AS dot, round(list_max(v), 6) AS most, round(list_min(v), 6) AS least,
 CAST(list_position(v, list_max(v)) - 1 AS INTEGER) AS at_most, round(sqrt(list_sum(list_transform(v, lambda x: (x - 0.5) * (x - 0.5)))), 6) AS euclidean, round(list_sum(list_transform(v[3:6], lambda x: abs(x))), 6) AS part_total

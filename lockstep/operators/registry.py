@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from . import io_queries, math_queries
 from . import queries as _own
 
-MODULES: list = [_own]
+MODULES: list = [_own, io_queries, math_queries]
 
 
 def queries() -> dict:

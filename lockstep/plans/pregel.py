@@ -52,6 +52,9 @@ def pregel(
     missing: str = "drop",
     checkpoint_every: int = 1,
     columns: list[str] | None = None,
+    path: str | None = None,
+    resume_at: int | None = None,
+    laid_out: bool = False,
 ) -> DataFrame:
     """``vertices`` (id, value, more columns named in ``columns``) after the program has run.
 
@@ -62,6 +65,8 @@ def pregel(
     sleep and nothing was sent, when until(context) holds, or after superstep 0 and ``max_iterations`` more
     (-1: no limit). missing: 'drop' messages to ids that don't exist, or 'error'. The state is written to the
     shared folder every ``checkpoint_every`` supersteps; with a number over 1 the end is only looked for there.
+    ``path``: keeps these states there; ``resume_at`` k goes on from the one that superstep k left. Edges are
+    written once, since each superstep reads them, unless they are ``laid_out`` in files already.
     """
     if missing == "error":
         lost = edges.join(vertices.select(F.col("id").alias("dst")), "dst", "left_anti").select("dst").first()
@@ -69,7 +74,8 @@ def pregel(
             raise ValueError(f"an edge leads to {lost[0]!r}, which is no vertex")
     extra = columns or []
     links = edges.select("src", "dst", "weight")
-    context = Context(0, vertices.count(), max_iterations)
+    links = links if laid_out else written(links, "edges")
+    context = Context(resume_at or 0, vertices.count(), max_iterations)
     old = F.col("value")
     state = vertices.select("id", "value", *extra).withColumns({"_halted": F.lit(False), "_sends": F.lit(False), "_old": old, "_ran": F.lit(True)})
 
@@ -82,11 +88,13 @@ def pregel(
         sleeps = F.when(F.col("_ran"), halt(was, now, context) if halt else F.lit(False)).otherwise(F.col("_halted"))
         return frame.withColumns({"_sends": F.coalesce(sends, F.lit(False)), "_halted": sleeps}).select("id", F.col("_new").alias("value"), *extra, "_halted", "_sends", "_old", "_ran")
 
-    state = ran(state, old, F.lit(True))
+    if resume_at is None:
+        state = ran(state, old, F.lit(True))
     while True:
         last = 0 <= max_iterations <= context.superstep
         if last or context.superstep % checkpoint_every == 0:
-            state = written(state, "vertices")
+            place = f"{path.rstrip('/')}/superstep={context.superstep}" if path else None
+            state = vertices.sparkSession.read.parquet(place) if context.superstep == resume_at else written(state, "vertices", place)
             looks = [F.count_if(~F.col("_halted")).alias("_awake"), F.count_if(F.col("_sends")).alias("_sent")]
             looks += [a.column(F.when(F.col("_ran"), F.col("_old")), F.when(F.col("_ran"), old)).alias(n) for n, a in (aggregators or {}).items()]
             if last:

@@ -21,7 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str = "step", path: str | None = None) -> DataFrame:
     """``df`` as Parquet in the shared folder, read back: a plan without history, which no later stage works
-    out again and which survives lost executors."""
-    path = path or f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out again and which survives lost executors. What a named ``path`` held, as from a run that is resumed before
+    it, is replaced."""
+    place = path or f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite" if path else "error").parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)

@@ -100,11 +100,12 @@ def test_vertex_classes_agree_with_columns(spark):
 
 
 def test_semi_clusters(spark):
-    names = [f"{g}_{i}" for g in range(6) for i in range(5)]
+    names = [f"{g}_{i}" for g in range(30) for i in range(10)]
     text = lines(spark, "# comment", *[f"{n}\t" + ",".join(f"{m}-0.1" for m in names if m.split("_")[0] == n.split("_")[0]) for n in names])
     vertices, edges = merged_vertices(T.cluster_adjacency(text))
-    best = graph.semi_clusters(vertices, edges, max_clusters=4, max_size=5).filter(F.size("members") == 5)
-    assert best.select("cluster").distinct().count() == 6
+    best = graph.semi_clusters(vertices, edges, max_clusters=4, max_sent=4, max_size=10).filter(F.size("members") == 10)
+    got = best.select("cluster", "members").distinct().collect()
+    assert len(got) == 30 and all(len({m.split("_")[0] for m in x.members}) == 1 for x in got)
 
 
 def test_aggregators(spark):
@@ -281,11 +282,11 @@ def test_networks(spark, tmp_path):
 
 
 def test_autoencoder():
-    x = np.eye(4)[:3]
+    x = np.vstack([np.eye(4)[:3], np.zeros(4)])
     net = learning.AutoEncoder(4, 2, rate=0.5, momentum=0.2, seed=4)
-    for _ in range(6000):
+    for _ in range(8000):
         net.train_online(x, x)
-    assert np.abs(net.decode(net.encode(x)) - x).max() < 0.2
+    assert np.abs(net.decode(net.encode(x)) - x).max() < 0.1
 
 
 def test_ratings(spark):
@@ -294,11 +295,54 @@ def test_ratings(spark):
     probes = spark.createDataFrame([(1, 1), (2, 3), (3, 4), (3, 5), (9, 1)], "user long, item long")
     got = {(r.user, r.item): r.estimate for r in learning.estimated(probes, users, items).collect()}
     want = {(1, 1): 4.0, (2, 3): 3.5, (3, 4): 1.0, (3, 5): 3.5}
-    assert sum(abs(got[k] - v) < 0.6 for k, v in want.items()) >= 2 and got[9, 1] == 0
+    assert sum(abs(got[k] - v) < 0.5 for k, v in want.items()) >= 2 and got[9, 1] == 0
     assert [r.item for r in learning.preferred_items(users, items, 1, 1).collect()] == [1]
     assert learning.similarity(users, "user", 1, 99) > 1e300 and learning.most_similar(items, "item", 1, 2).count() == 2
 
 
+def test_vertex_on_two_lines(spark):
+    vertices, edges = merged_vertices(T.weighted_adjacency(lines(spark, "a\tb:1", "b", "a\tc:2", "c")))
+    assert sorted(r.id for r in vertices.collect()) == ["a", "b", "c"]
+    assert sorted(tuple(r) for r in edges.collect()) == [("a", "b", 1), ("a", "c", 2)]
+
+
+def test_resumed_vertex_loop(spark, tmp_path):
+    chain = spark.range(12).select(F.col("id").alias("id"), F.col("id").alias("value"))
+    edges = spark.range(11).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1).alias("weight"))
+    steps = {"compute": lambda v, m, c: F.least(v, m), "message": lambda v, w: v, "combine": F.min, "send": lambda old, new, c: F.lit(True) if c.superstep == 0 else new < old, "halt": lambda old, new, c: F.lit(True)}
+    want = sorted(map(tuple, pregel(chain, edges, path=str(tmp_path / "run"), **steps).collect()))
+    assert want == [(i, 0) for i in range(12)]
+    again = pregel(chain, edges, path=str(tmp_path / "run"), resume_at=5, **steps)
+    assert sorted(map(tuple, again.collect())) == want
+
+
+def test_contraction(spark):
+    pairs = [(i, i + 1) for i in range(40)] + [(100, 105), (105, 103), (200, 201), (7, 7)]
+    edges = spark.createDataFrame([(*p, 1) for p in pairs], "src long, dst long, weight long")
+    vertices = spark.createDataFrame([(i,) for i in [*range(41), 100, 103, 105, 200, 300]], "id long")
+    got = {r.id: r.value for r in graph.components(vertices, edges, undirected=True).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 103: 100, 105: 100, 200: 200, 300: 300}
+
+
+def test_programs_by_name(spark, tmp_path):
+    from lockstep.__main__ import PROGRAMS, main
+
+    lines(spark, "a\tb\tc", "b\tc", "c\ta").coalesce(1).write.text(str(tmp_path / "graph"))
+    lines(spark, *[f"{i % 7}\t{i % 3}\t{int(i % 7 > 3)}" for i in range(60)]).write.text(str(tmp_path / "rows"))
+    for name, more in (("pagerank", ["--rounds", "3"]), ("inlinks", []), ("components", ["--rounds", "5"])):
+        main([name, "--input", str(tmp_path / "graph"), "--output", str(tmp_path / name), *more])
+        assert spark.read.parquet(str(tmp_path / name)).count() == 3
+    main(["symmetric", "--k", "30", "--output", str(tmp_path / "matrix")])
+    main(["vectors", "--k", "9", "--output", str(tmp_path / "vectors")])
+    assert spark.read.parquet(str(tmp_path / "vectors")).count() == 9
+    args = ["network", "--input", str(tmp_path / "rows"), "--model-path", str(tmp_path / "net"), "--k", "3"]
+    main([*args, "--train", "--rounds", "4", "--output", str(tmp_path / "trained")])
+    main([*args, "--output", str(tmp_path / "labelled")])
+    a, b = (sorted(map(str, spark.read.parquet(str(tmp_path / n)).collect())) for n in ("trained", "labelled"))
+    assert a == b and len(a) == 60
+    assert {"sssp", "bipartite", "semi", "pi", "combine", "generate", "kmeans", "descent"} < set(PROGRAMS)
+
+
 def test_exchange(spark):
     rows = spark.range(100).select(F.col("id").alias("k"))
     assert exchange.by_function(rows, 4, F.col("k")).select("peer").distinct().count() == 4
