@@ -19,7 +19,7 @@ BUCKETS, NGRAMS, STRETCH, CHUNK = 1 << 18, (3, 4, 5, 6), 64, 1 << 19
 #: The bounds of training: rows of label 1 (three times as many of label 0, whose texts vary more), bytes of
 #: their texts for each label; vector length, rounds, texts of a step, rates, and the standard errors at which
 #: a row's evidence is at a quarter.
-SAMPLE, SAMPLE_BYTES, DIM, ROUNDS, BATCH, RATE_E, RATE_W, SURE = 1200, 24 << 20, 4, 6, 480, 2.0, 0.3, 10.0
+SAMPLE, SAMPLE_BYTES, DIM, ROUNDS, BATCH, RATE_E, RATE_W, SURE = 1200, 16 << 20, 4, 8, 480, 2.0, 0.3, 10.0
 THRESHOLD = 0.7
 _PUNCTUATION = ".,;:!?\"'()[]{}<>*#&%$-_/\\|"
 #: By character, up to the last white one: 0, or 1 for white space, 2 for punctuation.
@@ -172,20 +172,21 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: in
     vectors = np.zeros((BUCKETS, DIM), np.float32)
     weight = np.where(y == 1, len(y) / 2 / (y == 1).sum(), len(y) / 2 / (y == 0).sum()).astype(np.float32)
     target = np.eye(2, dtype=np.float32)[y]
-    steps = []
+    # The texts of each step in one piece; each bag is given up when it is there.
+    bags, steps = list(bags), []
     order = random.permutation(len(y))
     for a in range(0, len(order), BATCH):
         batch = order[a : a + BATCH]
-        rows = np.concatenate([bags[i][0] for i in batch])
-        known, own = np.unique(rows, return_inverse=True)
-        text = np.repeat(np.arange(len(batch), dtype=np.int32), [len(bags[i][0]) for i in batch])
-        amount = np.concatenate([bags[i][1] for i in batch]) * scale[rows]
-        steps.append((batch, known, own.astype(np.int32), text, amount))
+        sizes = np.array([len(bags[i][0]) for i in batch])
+        rows, share = (np.concatenate([bags[i][k] for i in batch]) for k in (0, 1))
+        steps.append((batch, sizes, rows, share))
+        for i in batch:
+            bags[i] = None
     moved, moved_w, moved_bias = np.zeros_like(vectors), np.zeros_like(w), np.zeros_like(bias)
     for _ in range(ROUNDS):
-        for batch, known, own, text, amount in steps:
-            held = vectors[known]
-            hidden = np.stack([np.bincount(text, amount * held[own, d], minlength=len(batch)) for d in range(DIM)], axis=1)
+        for batch, sizes, rows, share in steps:
+            text, amount = np.repeat(np.arange(len(batch), dtype=np.int32), sizes), share * scale[rows]
+            hidden = np.stack([np.bincount(text, amount * vectors[rows, d], minlength=len(batch)) for d in range(DIM)], axis=1)
             z = hidden @ w + bias
             p = np.exp(z - z.max(1, keepdims=True))
             error = (p / p.sum(1, keepdims=True) - target[batch]) * weight[batch, None] / len(batch)
@@ -195,7 +196,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: in
                 m -= RATE_W * g
             moved *= 0.9
             for d in range(DIM):
-                moved[known, d] -= RATE_E * np.bincount(own, amount * back[text, d], minlength=len(known))
+                moved[:, d] -= RATE_E * np.bincount(rows, amount * back[text, d], minlength=BUCKETS)
             vectors += moved
             w += moved_w
             bias += moved_bias
@@ -256,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes:
     best = [rows.filter(F.col("toxic") == c).orderBy("_h", "doc_id").limit(n) for c, n in ((0, 3 * sample), (1, sample))]
     upto = Window.partitionBy("toxic").orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     chosen = best[0].union(best[1]).withColumn("_b", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(upto)).filter(F.col("_b") <= sample_bytes)
-    got = sorted((int(r["doc_id"]), int(r["toxic"]), r["text"] or "") for r in chosen.select("doc_id", "toxic", "text").collect())
+    got = sorted((int(r["doc_id"]), int(r["toxic"]), r["text"] or "") for r in chosen.select("doc_id", "toxic", "text").toLocalIterator())
     return train([bag(t) for _, _, t in got], [c for _, c, _ in got])
 
 
