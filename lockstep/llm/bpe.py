@@ -17,7 +17,6 @@ import re
 
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import map_texts, table
 

@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected
 from .bpe import Memo
 from .common import map_texts, table, written
 
@@ -230,32 +231,6 @@ def meetings(marks: DataFrame, chain: bool = False) -> DataFrame:
     return found.filter("b is not null").unionByName(across)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of the nodes of edges (a, b): the least node of each component, by large and small
-    star steps until nothing changes. Each step groups by one end of pre-aggregated edges and is written to
-    the shared folder."""
-    now = written(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi <> lo").distinct(), "edges")
-    mark = None
-    while True:
-        # Large star: neighbours above a node go to the node's least neighbour.
-        both = now.unionByName(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        least = both.groupBy("hi").agg(F.least(F.min("lo"), F.col("hi")).alias("m"))
-        large = both.join(least, "hi").filter("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        large = large.filter("hi <> lo").distinct()
-        # Small star: a node and its lower neighbours go to the least of these.
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(low, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).filter("hi <> lo")
-        now = written(small.unionByName(low.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
-        # A sum of hashes, folded to whole numbers that can't overflow.
-        state = now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("hi", "lo"), F.lit(1 << 31)))).first()
-        if tuple(state) == mark:
-            break
-        mark = tuple(state)
-    return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(
-        now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()
-    )
-
-
 class Tree:
     """A binary tree over members ordered by size. Each level has, for its nodes, the least and greatest
     size, the OR of bitmaps, the component (if one), whether there are several, and the fewest bits."""
@@ -371,7 +346,7 @@ def linked(docs: DataFrame, id_col: str, k: int, t: tuple[int, int], text: str)
     if nodes.filter("_c <> _d").limit(1).count():
         raise ValueError("two sets share a 64-bit digest; change the constants in MIX")
     met = meetings(rows.select(F.explode("signatures").alias("sig"), "node"))
-    clusters = components(met.select("a", "b"))
+    clusters = connected(met.select("a", "b"))
     wanted = written(placed(clusters.withColumnRenamed("root", "cluster").join(nodes.select("node", "n_shingles", "_first"), "node")), "wanted")
     few = wanted.count() <= 400_000  # 60 bytes each: what is broadcast stays under 24 MB
     keyed = wanted.select("node", "cluster", "block", F.col("_first._id").alias("_i"), F.col("_first._hash").alias("_h"))
@@ -380,14 +355,14 @@ def linked(docs: DataFrame, id_col: str, k: int, t: tuple[int, int], text: str)
 
     alone = sets.withColumns({"root": F.col("node"), "side": F.lit(0)})
     links = written(alone.groupBy("cluster", "block").applyInPandas(_tree_links(t), "a long, b long"), "links")
-    roots = components(links)
+    roots = connected(links)
     many = wanted.filter("block <> 0")
     for neighbours in (True, False) if many.limit(1).count() else ():
         # Clusters of several blocks: neighbouring ones first; what is still apart is searched in full.
         more = written(_across(sets, many, roots, t, neighbours).groupBy("cluster", "bx", "by").applyInPandas(_tree_links(t), "a long, b long"), "links")
         if more.limit(1).count():
             links = links.unionByName(more)
-            roots = components(links)
+            roots = connected(links)
     labels = nodes.select("node", "_first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # Most nodes are alone: only the others' components are gathered.
     shared = labels.groupBy("root").agg(F.min("_first").alias("_first"))

@@ -173,9 +173,3 @@ def test_tree_keeps_every_link():
         return [label.index(c) for c in label]
 
     assert parts(joined) == parts(links)
-
-
-def test_components_of_long_chains(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 105), (105, 103), (200, 201)]
-    got = {r.node: r.root for r in jj.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 103: 100, 105: 100, 200: 200, 201: 200}
