@@ -354,12 +354,15 @@ def linked(docs: DataFrame, id_col: str, k: int, t: tuple[int, int], text: str)
     sets = written(shingle_sets(texts.select("node", "cluster", "block", "_t"), ["node", "cluster", "block"], k, "_t").withColumn("n_shingles", F.size("shingles").cast("long")), "sets")
 
     alone = sets.withColumns({"root": F.col("node"), "side": F.lit(0)})
-    links = written(alone.groupBy("cluster", "block").applyInPandas(_tree_links(t), "a long, b long"), "links")
+    # A search takes far more time than its rows' bytes tell, so tasks aren't merged by these.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = written(alone.repartition(tasks, "cluster", "block").groupBy("cluster", "block").applyInPandas(_tree_links(t), "a long, b long"), "links")
     roots = connected(links)
     many = wanted.filter("block <> 0")
     for neighbours in (True, False) if many.limit(1).count() else ():
         # Clusters of several blocks: neighbouring ones first; what is still apart is searched in full.
-        more = written(_across(sets, many, roots, t, neighbours).groupBy("cluster", "bx", "by").applyInPandas(_tree_links(t), "a long, b long"), "links")
+        pairs = _across(sets, many, roots, t, neighbours).repartition(tasks, "cluster", "bx", "by")
+        more = written(pairs.groupBy("cluster", "bx", "by").applyInPandas(_tree_links(t), "a long, b long"), "links")
         if more.limit(1).count():
             links = links.unionByName(more)
             roots = connected(links)
