@@ -11,8 +11,8 @@
    bitmaps of shingles and size ranges: a dual traversal drops pairs of tree nodes whose greatest possible
    overlap is too small, and what is left is verified exactly, likely pairs first, until all that links is
    joined. A cluster of more than a block's members or shingles is cut into blocks by size: trees inside each
-   block first, then of neighbouring blocks; if it is still in several components, block summaries (the
-   trees' roots) are traversed and the members of the pairs that survive are searched.
+   block first, then of neighbouring blocks; if it is still in several components, members outside the
+   largest one are searched in each block whose summary (the tree's root) allows a link.
 4. Components by repeated min-label contraction; copies get their node's component.
 """
 
@@ -387,32 +387,36 @@ def placed(members: DataFrame) -> DataFrame:
 
 
 def _across(sets: DataFrame, many: DataFrame, roots: DataFrame, t: tuple[int, int], neighbours: bool) -> DataFrame:
-    """Members of pairs of different blocks that may link: of neighbouring ones, or of all that the roots of their
-    trees allow, in clusters that aren't one component yet."""
+    """Members that may link across blocks, in clusters that aren't one component yet: pairs of neighbouring blocks, or
+    blocks with those members outside the largest component that the root of the block's tree allows."""
     p, q = t
     here = many.select("cluster", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = here.groupBy("cluster").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).filter("_x <> _y").select("cluster")
     own = sets.filter("block <> 0").join(apart, "cluster", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    held = ["node", "root", "n_shingles", "bits", "shingles"]
     if neighbours:
         blocks = own.select(F.col("cluster").alias("sig"), F.col("block").alias("node")).distinct()
         pairs = meetings(blocks, chain=True).select(F.col("sig").alias("cluster"), F.least("a", "b").alias("bx"), F.greatest("a", "b").alias("by"))
-    else:
-        ones = F.aggregate("bits", F.lit(0), lambda n, x: n + F.bit_count(x))
-        tops = own.groupBy("cluster", "block").agg(
-            F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(ones).alias("least"),
-            F.array(*[F.bit_or(F.get("bits", i)) for i in range(BITS)]).alias("bits"),
-        )
-        tops = written(tops, "tops")
-        x, y = (tops.select("cluster", *[F.col(c).alias(f"{c}{n}") for c in tops.columns if c != "cluster"]) for n in ("_x", "_y"))
-        common = F.aggregate(F.zip_with("bits_x", "bits_y", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda n, c: n + c)
-        most = F.least(*[F.col(f"high_{s}") - F.greatest(F.col(f"least_{s}") - common, F.lit(0)) for s in "xy"])
-        can = (q * F.col("high_x") >= p * F.col("low_y")) & (q * F.col("high_y") >= p * F.col("low_x"))
-        can &= (F.col("r0_x") != F.col("r1_x")) | (F.col("r0_y") != F.col("r1_y")) | (F.col("r0_x") != F.col("r0_y"))
-        can &= (p + q) * most >= p * (F.col("low_x") + F.col("low_y"))
-        pairs = x.join(y, "cluster").filter("block_x < block_y").filter(can).select("cluster", F.col("block_x").alias("bx"), F.col("block_y").alias("by"))
-    pairs = written(pairs.distinct(), "pairs")
-    sides = pairs.select("cluster", "bx", "by", F.col("bx").alias("block"), F.lit(0).alias("side")).unionByName(pairs.select("cluster", "bx", "by", F.col("by").alias("block"), F.lit(1).alias("side")))
-    return own.join(sides, ["cluster", "block"]).select("cluster", "bx", "by", "side", "node", "root", "n_shingles", "bits", "shingles")
+        pairs = written(pairs.distinct(), "pairs")
+        sides = pairs.select("cluster", "bx", "by", F.col("bx").alias("block"), F.lit(0).alias("side")).unionByName(pairs.select("cluster", "bx", "by", F.col("by").alias("block"), F.lit(1).alias("side")))
+        return own.join(sides, ["cluster", "block"]).select("cluster", "bx", "by", "side", *held)
+    # Two members of a cluster's largest component needn't meet: those outside it are taken to all blocks.
+    largest = own.groupBy("cluster", "root").agg(F.count("*").alias("_n")).groupBy("cluster").agg(F.max_by("root", F.struct("_n", "root")).alias("_top"))
+    some = own.join(largest, "cluster").filter("root <> _top").select("cluster", *held)
+    parts = some.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long").alias("_k"))
+    tops = own.groupBy("cluster", F.col("block").alias("bx")).agg(
+        F.min("n_shingles").alias("_low"), F.max("n_shingles").alias("_high"), F.array(*[F.bit_or(F.get("bits", i)) for i in range(BITS)]).alias("_union")
+    )
+    tops = written(tops, "tops")
+    ones = F.aggregate("bits", F.lit(0), lambda n, x: n + F.bit_count(x))
+    common = F.aggregate(F.zip_with("bits", "_union", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda n, c: n + c)
+    n = F.col("n_shingles")
+    most = F.least(n - F.greatest(ones - common, F.lit(0)), F.col("_high"))
+    can = (q * F.col("_high") >= p * n) & (q * n >= p * F.col("_low")) & ((p + q) * most >= p * (n + F.col("_low")))
+    asked = some.join(parts, "cluster").withColumn("by", F.pmod(F.xxhash64("node"), F.col("_k")))
+    asked = asked.join(tops, "cluster").filter(can).select("cluster", "bx", "by", F.lit(1).alias("side"), *held)
+    met = written(asked.select("cluster", "bx", "by").distinct(), "pairs").withColumnRenamed("bx", "block")
+    return own.join(met, ["cluster", "block"]).select("cluster", F.col("block").alias("bx"), "by", F.lit(0).alias("side"), *held).unionByName(asked)
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", k: int = 3, t: tuple[int, int] = (9, 10), text: str = "text") -> DataFrame:
